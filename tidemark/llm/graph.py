@@ -13,13 +13,14 @@ MAX_ROUNDS = 60
 def _star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # a table of its own, so that the join below reads plain shuffles and a hub's edges can be split over tasks
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, durable, map_rows, struct_of, texts_of
+from tidemark.llm.common import Memo, column_names_like, durable, map_rows, struct_of, texts_of
 from tidemark.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -132,6 +132,8 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         label = [F.substring("sig", 1 + 2 * DEPTH * t, 2 * depth) for t in range(TREES)]
         nodes = classes.select("cid", F.posexplode(F.array(*label)).alias("tree", "prefix"))
         pivots = nodes.groupBy("tree", "prefix").agg(F.min(F.struct(F.xxhash64("cid", "tree").alias("h"), F.col("cid").alias("c"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("tree", "prefix", F.col("p.c").alias("pivot"))
+        # a table of its own, so that the join reads plain shuffles and a hot node can be split over tasks
+        pivots = durable(pivots)
         pairs = nodes.join(pivots, ["tree", "prefix"]).where("cid != pivot").select(F.col("cid").alias("u"), F.col("pivot").alias("v")).distinct()
         sig = classes.select("cid", "sig")
         pairs = pairs.join(sig.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
@@ -150,7 +152,7 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
         if not rows[start]:
             continue
         rows[start] = False
-        front, root, first = np.array([start]), int(left[start]), True
+        front, root = np.array([start]), int(left[start])
         while len(front):
             new = linked[front].any(0) & columns
             columns &= ~new
@@ -159,7 +161,6 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
             rows &= ~back
             front = np.flatnonzero(back)
             edges += [(int(c), root) for c in left[front] if c != root]
-            first = False
     return edges
 
 
@@ -188,14 +189,15 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.nd
     return linked
 
 
-def verified(members: DataFrame) -> DataFrame:
+def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact links inside candidate groups.
 
-    ``members(grp, cid, n_texts, text)``; returns ``(cid, links, root)`` rows, where
-    ``links`` counts different texts and ``root`` joins the class to a component.
+    ``members(grp, cid, n_texts)`` and ``texts(cid, text)``; returns ``(cid, links,
+    root)`` rows, where ``links`` counts different texts and ``root`` joins the class
+    to a component.  Groups are cut into blocks before any text is moved.
     """
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sizes = durable(members.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, "cid")
     # block b meets every block j: the task (min, max) holds both
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "cid", "n_texts", "text")
@@ -254,9 +256,9 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     classes = durable(one_text.groupBy("set_key").agg(F.min("cid").alias("cid"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("sig").alias("sig")))
     groups = components(candidate_pairs(classes))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "set_key"), "cid")
+    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts"), "cid")
     texts = documents.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
-    found = durable(verified(members.join(texts, "cid").select("grp", "cid", "n_texts", "text")))
+    found = durable(verified(members.select("grp", "cid", "n_texts"), texts))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     whole = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
@@ -268,8 +270,9 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: that with the least id; rows with a null id all stay."""
-    copies = similarity_classes(documents, id_col=id_col, text_col=text_col).where("class_id != doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = documents.join(copies, documents[id_col].cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = column_names_like(documents, ["copy_of_another"])
+    copies = similarity_classes(documents, id_col=id_col, text_col=text_col).where("class_id != doc_id").select(F.col("doc_id").alias(gone))
+    kept = documents.join(copies, documents[id_col].cast("long") == F.col(gone), "left_anti")
     repeated = documents.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():
         return kept
