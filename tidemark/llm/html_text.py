@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,12 +47,18 @@ CHROME_WORD = re.compile(
 )
 ARTICLE_WORD = re.compile(r"(?:^|[\s_-])(?:articlebody|article-body|article-content|article-text|post-content|post-body|entry-content|main-content|story-body)(?:$|\s)", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
+TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: As TAG for pages with a quote that never closes: a tag ends at the next bracket.
+BROKEN_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)([^>]*+)>")
+TITLE_HEADER = re.compile(r"(?:article|post|entry|story)[-_]header", re.I)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPACE = re.compile(r"\s+")
 
 
 class _Open:
+    """An open element, with what it or one around it is."""
+
     __slots__ = ("article", "chrome", "link", "name")
 
     def __init__(self, name: str, chrome: bool, article: bool, link: bool):
@@ -65,7 +72,7 @@ def _marks(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
         for m in ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role") and name not in ("body", "html"):
-                chrome = chrome or bool(CHROME_WORD.search(value)) and not ARTICLE_WORD.search(value) and name not in ("article", "main")
+                chrome = chrome or bool(CHROME_WORD.search(TITLE_HEADER.sub("", value))) and not ARTICLE_WORD.search(value) and name not in ("article", "main")
                 article = article or bool(ARTICLE_WORD.search(value))
                 if name == "article" and re.search(r"comment|related|teaser|promo", value, re.I):
                     chrome, article = True, False
@@ -77,22 +84,23 @@ def _marks(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, inside chrome, inside the article) of each line, in page order."""
+    """(text, characters outside links, inside chrome, inside the article) of each line, in page order.
+
+    One pass: each element knows what surrounds it, and numbers of open elements by
+    name spare searches that would find nothing.
+    """
     lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[_Open] = []
+    stack: list[_Open] = [_Open("", False, False, False)]
+    opened: Counter = Counter()
     parts: list[str] = []
     loose = 0
-    state = [False, False, False]
-
-    def refresh() -> None:
-        state[:] = [any(x.chrome for x in stack), any(x.article for x in stack), any(x.link for x in stack)]
 
     def end_line() -> None:
         nonlocal loose
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, loose, state[0], state[1]))
+                lines.append((text, loose, stack[-1].chrome, stack[-1].article))
             parts.clear()
         loose = 0
 
@@ -100,61 +108,78 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal loose
         if raw:
             parts.append(raw)
-            if not state[2]:
+            if not stack[-1].link:
                 loose += len(raw.strip())
 
-    at, n = 0, len(page)
+    def cut(depth: int) -> None:
+        for x in stack[depth:]:
+            opened[x.name] -= 1
+        del stack[depth:]
+
+    at, n, tag = 0, len(page), TAG
+    last_end = page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or start > last_end and not page.startswith("<!", start):
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[1] or "").lower()
-        if not name:
+        text(page[at:start])
+        sign = page[start + 1 : start + 2]
+        if sign in ("!", "?"):
+            m = OTHER.match(page, start)
+            at = m.end()
             if m[0].startswith("<![CDATA["):
                 text(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
-        if page[m.start() + 1] == "/":
+        m = tag.match(page, start)
+        if m is None and tag is TAG and (BROKEN_TAG.match(page, start)):
+            tag = BROKEN_TAG  # a quote never closes: each later tag would look for it again
+            m = tag.match(page, start)
+        if m is None:
+            text(page[start : start + 1])
+            at = start + 1
+            continue
+        at, name = m.end(), m[1].lower()
+        if sign == "/":
             if name in BLOCKS:
                 end_line()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    refresh()
-                    break
-                if name not in BLOCKS and stack[i].name in NOT_IN_P:
-                    break  # an inline end tag doesn't close a block
+            if opened[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        cut(i)
+                        break
+                    if name not in BLOCKS and stack[i].name in NOT_IN_P:
+                        break  # an inline end tag doesn't close a block
             continue
+        empty = m[2].rstrip().endswith("/")
         if name in RAW:
-            if not m[2].rstrip().endswith("/"):
+            if name in BLOCKS:
+                end_line()
+            if not empty:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if name == "head" and close is None:
                     continue
                 at = close.end() if close else n
-            if name in BLOCKS:
-                end_line()
             continue
         if name in BLOCKS:
             end_line()
             if name == "br":
                 continue
-            # a p, li, dt, dd, option, tr or cell ends where the next one, or for a p any block, begins
-            if name in NOT_IN_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == "p" or stack[i].name == name and name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                        del stack[i:]
-                        refresh()
+            # a p ends where any block begins; a li, dt, dd, option, tr or cell where the next one does
+            again = name in ("li", "dt", "dd", "option", "tr", "td", "th")
+            if opened["p"] > 0 or again and opened[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == "p" or again and stack[i].name == name:
+                        cut(i)
                         break
                     if stack[i].name in NOT_IN_P:
                         break
-        if name in VOID or m[2].rstrip().endswith("/"):
+        if name in VOID or empty:
             continue
-        chrome, article = _marks(name, m[2], state[1])
-        stack.append(_Open(name, chrome, article, name == "a"))
-        if chrome or article or name == "a":
-            refresh()
+        around = stack[-1]
+        chrome, article = _marks(name, m[2], around.article)
+        stack.append(_Open(name, around.chrome or chrome, around.article or article, around.link or name == "a"))
+        opened[name] += 1
     end_line()
     return lines
 
@@ -188,14 +213,16 @@ def main_text(page: str) -> str:
         inside = [i for i, n in enumerate(lengths) if n]
         first, last = inside[0], inside[-1] + 1
         return "\n".join(t for (t, *_), n in zip(lines[first:last], lengths[first:last], strict=True) if n)
-    lengths = [0 if c else n for _, n, c, _ in lines]
+    # chrome inside the text doesn't cut it in two
+    lines = [x for x in lines if not x[2]]
+    lengths = [n for _, n, *_ in lines]
     first, last = stretch(lengths)
     if first == last:  # no block surges: a page of a few short lines
         first, last = stretch(lengths, surge=1)
-    # a window reaches past the line that lifts it: leave out the empty lines at either end
+    # a window reaches past the line that lifts it: leave out the empty lines at the start
     while first < last and not lengths[first]:
         first += 1
-    return "\n".join(t for t, _, c, _ in lines[first:last] if not c)
+    return "\n".join(t for t, *_ in lines[first:last])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
