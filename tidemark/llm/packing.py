@@ -174,7 +174,8 @@ def pieces(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                         part = ids[4 * start : 4 * (start + window)]
                         row = (doc, start, len(part) // 4, zlib.crc32(part), n, h % groups, h)
                         out.append((*row, part) if with_ids else row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # the row's own hash: rows that repeat meet in a group, a repeated id alone is spread
