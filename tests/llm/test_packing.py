@@ -1,0 +1,87 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tidemark.llm import packing as K
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return K.Encoder(K.tokenizer_path())
+
+
+@pytest.mark.parametrize("alphabet", ["ab cD 12\t\n\r'sll ._-é ñ  ²½ª\xa0ʼ́中٣\x85\x1c<|endoftext|>€ßǅ", "ab cD 12\t\n\r'sll ._-é ñ¿¡«» ×÷", " 'reveS"])
+def test_ids_are_the_tokenizers(encoder, alphabet):
+    draw = random.Random(alphabet)
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|>", "", " " * 50, "a" * 5000]
+    assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_ids_of_given_documents(encoder, documents):
+    texts = [r["text"] for r in documents.collect()]
+    assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_memory_of_words_is_bounded(encoder):
+    small = K.Encoder(K.tokenizer_path(), remember=10)
+    texts = [f"word{i} other{i} third" for i in range(50)]
+    assert [small.encode([t])[0] for t in texts] == encoder.whole(texts)
+    assert len(small._known) < 30
+
+
+def test_best_fit_against_brute_force():
+    draw = random.Random(1)
+    for _ in range(300):
+        window = draw.choice([1, 2, 7, 64, 100])
+        lengths = sorted((draw.randint(1, window) for _ in range(draw.randint(0, 60))), reverse=True)
+        rooms = []
+        for n in lengths:
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(window - n)
+        used = {}
+        for n, (w, offset) in zip(lengths, K.best_fit_decreasing(lengths, window), strict=True):
+            assert used.get(w, 0) == offset
+            used[w] = offset + n
+        assert sorted(window - x for x in used.values()) == sorted(rooms)
+
+
+def check(df, texts, encoder, window=K.WINDOW):
+    """Every id lies in one piece, and sequences are gapless."""
+    rows = K.pack(df, window=window).toPandas()
+    want = {}
+    for d, t in texts:
+        ids = np.frombuffer(encoder.whole([t or ""])[0] + bytes(4), "<u4")
+        want.setdefault(d, ids)
+        own = rows[rows.doc_id == d] if d is not None else rows[rows.doc_id.isna()]
+        assert (own.doc_tokens == len(ids)).all()
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].astype("<u4").tobytes())
+        copies = sum(x == d for x, _ in texts)
+        assert own.length.sum() == copies * len(ids)
+    for _, s in rows.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.r_[0, s.length.cumsum().to_numpy()[:-1]]).all() and s.length.sum() <= window
+    return rows
+
+
+def test_given_documents(documents, encoder):
+    rows = check(documents, [(r["doc_id"], r["text"]) for r in documents.collect()], encoder)
+    used = rows.groupby("sequence_id").length.sum()
+    assert 1 - used.sum() / (K.WINDOW * len(used)) < 0.02
+
+
+def test_odd_rows(odd, nothing, encoder):
+    check(odd, [(r["doc_id"], r["text"]) for r in odd.collect()], encoder)
+    check(odd, [(r["doc_id"], r["text"]) for r in odd.collect()], encoder, window=8)
+    assert K.pack(nothing).count() == 0
+
+
+def test_ids_can_be_kept(odd):
+    for r in K.pack(odd, with_ids=True).collect():
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]

@@ -57,7 +57,7 @@ class ArcRecord:
 
 def _field(value: str) -> bytes:
     """A header field: white space and controls are percent-encoded."""
-    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0], value.encode("utf-8", "surrogatepass")) or b"-"
+    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], value.encode("utf-8", "surrogatepass")) or b"-"
 
 
 def arc_header(version: int, name: str = "pages.arc") -> bytes:
@@ -91,9 +91,10 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if stop > len(data):
             raise ArchiveError(f"a record at byte {at} declares {int(fields[-1])} bytes, {len(data) - start} are left")
         if not version:
-            lines = data[start:stop].split(b"\n")
-            version = int(lines[0].split(b" ")[0])
-            if not fields[0].startswith(b"filedesc://") or FIELDS.get(version) != lines[1].rstrip(b"\r"):
+            lines = [x.rstrip(b"\r") for x in data[start:stop].split(b"\n")]
+            number = lines[0].split(b" ")[0]
+            version = int(number) if number.isdigit() else 0
+            if not fields[0].startswith(b"filedesc://") or version not in FIELDS or lines[1:2] != [FIELDS[version]]:
                 raise ArchiveError("no version block that is known")
         else:
             if len(fields) != len(FIELDS[version].split()):
