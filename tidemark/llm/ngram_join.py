@@ -45,7 +45,7 @@ TREES, DEPTH = 20, 6
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
 KEEP = 0.5
-BLOCK = 1_500
+BLOCK = 300
 COLUMNS = 4_096
 
 _random = np.random.default_rng(20_240_607)
