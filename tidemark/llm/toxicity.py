@@ -38,10 +38,13 @@ WORD = re.compile(r"\w+")
 MAX_FIT_ROWS = 12_000
 #: The Dirichlet prior of a token: this share of its count in both classes together.
 PRIOR = 0.2
-MIN_Z, MIN_DELTA = 3.0, 1.5
+#: A toxic token's z-score, and its log-odds as a share of those of a token that no clean text has.
+MIN_Z, MIN_SHARE = 3.0, 0.7
 MIN_TOXIC_DOCUMENTS = 3
 PREFIXES = (6, 5, 4, 3)
 PREFIX_PENALTY = 0.5
+#: A prefix counts as a stem if words go on from it in so many toxic ways; with fewer, the longer forms speak for themselves.
+MIN_BRANCHES = 3
 FOLDS = 5
 
 
@@ -128,7 +131,7 @@ def evidence_of(text: str, memo: Memo, model: ToxicModel) -> tuple[float, list[t
 
 def features_of(text: str) -> set[str]:
     words = set(WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
+    return words | {w[:n] + "*" for w in words for n in (PREFIXES[0] + 1, *PREFIXES) if len(w) > n}
 
 
 def _with_least_shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,7 +176,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         t_sum, c_sum = t_all + prior, c_all + prior
         a, b = (F.col(x) + PRIOR * (F.col("t") + F.col("c")) for x in ("t", "c"))
         delta = F.log(a / (F.lit(t_sum) - a)) - F.log(b / (F.lit(c_sum) - b))
-        strong = counted.where(F.col("t") >= MIN_TOXIC_DOCUMENTS).select("w", "t", "c", delta.alias("d")).where((F.col("d") / F.sqrt(1 / a + 1 / b) >= MIN_Z) & (F.col("d") >= MIN_DELTA)).collect()  # from a bounded sample
+        most = math.log((1 + PRIOR) / PRIOR) + math.log(c_sum / t_sum) if t_all and c_all else math.inf
+        odds = counted.select("w", "t", "c", delta.alias("d"), F.sqrt(1 / a + 1 / b).alias("sd")).where(F.col("d") >= MIN_SHARE * most)
+        branches = odds.where(F.col("w").endswith("*")).groupBy(F.expr("concat(substring(w, 1, length(w) - 2), '*')").alias("w")).agg(F.count("*").alias("branches"))
+        significant = odds.where((F.col("t") >= MIN_TOXIC_DOCUMENTS) & (F.col("d") >= MIN_Z * F.col("sd"))).join(branches, "w", "left")
+        # from a bounded sample
+        strong = significant.where(~F.col("w").endswith("*") | (F.col("branches") >= MIN_BRANCHES)).collect()
         model = ToxicModel()
         model.words = {r["w"]: r["d"] for r in strong if not r["w"].endswith("*")}
         model.stems = {r["w"][:-1]: r["d"] - PREFIX_PENALTY for r in strong if r["w"].endswith("*") and r["d"] > 2 * PREFIX_PENALTY}
