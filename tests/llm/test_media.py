@@ -79,7 +79,8 @@ def test_shots():
     found = M.clips([dark] * 5 + [light] * 7 + [dark] * 3, 0.04)
     assert [(a, b) for a, b, *_ in found] == [(0, 5), (5, 12), (12, 15)]
     assert [round(t, 2) for _, _, t, *_ in found] == [0.0, 0.2, 0.48]
-    assert M.clips([dark], 0.04) == [(0, 1, 0.0, 0.04, 0.0)]
+    assert [x[5] for x in found] == [20.0, 200.0, 20.0]
+    assert M.clips([dark], 0.04) == [(0, 1, 0.0, 0.04, 0.0, 20.0)]
 
 
 def test_rows(odd, nothing):

@@ -219,10 +219,12 @@ def decode(data: bytes) -> tuple[bytes, list[np.ndarray], float]:
     return b"".join(f.tobytes() for f in frames), frames, seconds
 
 
-def clips(frames: list[np.ndarray], seconds: float) -> list[tuple[int, int, float, float, float]]:
-    """(first frame, end frame, start s, end s, difference at the start) of each shot."""
+def clips(frames: list[np.ndarray], seconds: float) -> list[tuple[int, int, float, float, float, float]]:
+    """(first frame, end frame, start s, end s, difference at the start, mean grey) of each shot."""
+    sizes = np.array([f.size for f in frames])
+    grey = np.array([int(f.sum()) for f in frames])
     if len(frames) == 1:
-        return [(0, 1, 0.0, seconds, 0.0)]
+        return [(0, 1, 0.0, seconds, 0.0, int(grey[0]) / int(sizes[0]))]
     shares = np.stack([np.bincount(f.reshape(-1) >> 4, minlength=BINS) / f.size for f in frames])
     change = np.abs(np.diff(shares, axis=0)).sum(1) / 2
     # sliding mean and deviation of the differences before and around each one, itself left out
@@ -234,7 +236,7 @@ def clips(frames: list[np.ndarray], seconds: float) -> list[tuple[int, int, floa
     deviation = np.sqrt(np.maximum(0, (squares[high] - squares[low] - change**2) / others - mean**2))
     cuts = np.flatnonzero(change > np.maximum(mean + CUT_SIGMAS * deviation, CUT_LEAST)) + 1
     edges = [0, *cuts.tolist(), len(frames)]
-    return [(a, b, a * seconds, b * seconds, float(change[a - 1]) if a else 0.0) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(a, b, a * seconds, b * seconds, float(change[a - 1]) if a else 0.0, int(grey[a:b].sum()) / int(sizes[a:b].sum())) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -255,7 +257,7 @@ def media_column(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-CLIP = struct_of("first int, end int, start_s double, end_s double, change double")
+CLIP = struct_of("first int, end int, start_s double, end_s double, change double, grey double")
 READ = struct_of("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int").add("clips", T.ArrayType(CLIP))
 
 
@@ -283,6 +285,6 @@ def clip_rows(read: DataFrame) -> DataFrame:
 
 
 def feature(read: DataFrame) -> DataFrame:
-    """``feature``: frames, and each clip as first-end at its time."""
-    shots = F.transform("clips", lambda c: F.format_string("%d-%d@%.2f", c["first"], c["end"], c["start_s"]))
+    """``feature``: frames, and each clip as first-end at its time, with its cut's strength and its mean grey."""
+    shots = F.transform("clips", lambda c: F.format_string("%d-%d@%.2f/%.4f/%.4f", c["first"], c["end"], c["start_s"], c["change"], c["grey"]))
     return read.withColumn("feature", F.concat(F.lit("frames="), F.col("n_frames").cast("string"), F.lit(";shots="), F.size("clips").cast("string"), F.lit(";"), F.array_join(shots, ","))).drop("clips")
