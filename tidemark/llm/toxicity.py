@@ -150,6 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     # at most 2 * max_fit_rows ids of 24 bytes: small enough to broadcast at any input size
     rows = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("_text", "_y", "_fold")
     # near copies of a text share their least shingle most of the time, and are learned once
+    counted = None
     rows = map_rows(rows, _with_least_shingle, struct_of("_text string, _y int, _fold int, _h long")).dropDuplicates(["_h", "_y"]).drop("_h").persist()
     try:
         sizes = {(r["_y"], r["c"]): r["n"] for r in rows.groupBy("_y", (F.col("_fold") == FOLDS - 1).alias("c")).agg(F.count("*").alias("n")).collect()}
@@ -168,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 part = names[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"w": part, "t": [seen[1][w] for w in part], "c": [seen[0][w] for w in part]}, pa.schema([("w", pa.string()), ("t", pa.int64()), ("c", pa.int64())]))
 
-        counted = rows.where(F.col("_fold") < FOLDS - 1).mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        counted = rows.where(F.col("_fold") < FOLDS - 1).mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).persist()
         totals = counted.groupBy(F.col("w").endswith("*").alias("stem")).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
         sums = {r["stem"]: (r["t"], r["c"]) for r in totals}
         t_all, c_all = sums.get(False, (0, 0))
@@ -199,7 +200,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
         sample = map_rows(rows.where(F.col("_fold") == FOLDS - 1), measure, struct_of("y int, n long, s double[]")).collect()
     finally:
-        rows.unpersist()
+        for table in (rows, counted):
+            if table is not None:
+                table.unpersist()
     # K of the extreme-value law: segments of clean text for each word, each weighted by e to its score; a
     # score above that of one strong word is a label error or a real passage, not noise
     noise = [s for r in sample if r["y"] == 0 for s in r["s"]]
