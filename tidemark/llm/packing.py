@@ -20,6 +20,7 @@ any other; rows that repeat are packed once each; ties go by id, start, then tex
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -38,7 +39,7 @@ GROUP = 2_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Group number of full windows, and room for so many sequences in a group.
 GROUP_SPAN = 1 << 34
-MEMO = 600_000
+MEMO = 1_000_000
 
 # The byte-level pre-tokenizer's pattern, for texts of the characters below.
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ʯ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9À-ÖØ-öø-ʯ]+|\s+(?!\S)|\s+")
@@ -100,6 +101,12 @@ class Encoder:
         return [next(rest) if words is None else b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker, so that its later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 class RoomTree:
     """A segment tree over remaining capacities: finds the least one that fits."""
 
@@ -161,7 +168,7 @@ def pieces(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kinds = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path())
+        encoder = encoder_of(path or tokenizer_path())
         stop = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             docs, hashes, texts = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts_of(batch, "text")
