@@ -32,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,47 +199,32 @@ def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int,
     return chain, sorted(skip)
 
 
-def marginals(model: Crf, nodes: list[Node]) -> list[list[float]]:
-    """Beliefs of loopy sum-product message passing, in logs."""
-    unary = [model.unary(n) for n in nodes]
+def marginals(model: Crf, nodes: list[Node]) -> np.ndarray:
+    """Beliefs of loopy sum-product message passing; all messages of a round are one array."""
+    unary = np.array([model.unary(n) for n in nodes])
     chain, skip = edges_of(nodes)
-    edges = [(i, j, model.chain) for i, j in chain] + [(i, j, model.skip) for i, j in skip]
-    to: list[list[tuple[int, int]]] = [[] for _ in nodes]
-    for e, (i, j, _) in enumerate(edges):
-        to[j].append((e, 0))
-        to[i].append((e, 1))
-    zero = [0.0] * 5
-    message = [[zero, zero] for _ in edges]  # forward to j, backward to i
-    belief = [list(u) for u in unary]
-    for _ in range(ROUNDS):
-        change = 0.0
-        fresh = []
-        for e, (i, j, table) in enumerate(edges):
-            pair = []
-            for way, (a, _b) in enumerate(((i, j), (j, i))):
-                inward = message[e][1 - way]  # what the other end said
-                base = [x - y for x, y in zip(belief[a], inward, strict=True)]
-                top = max(base)
-                power = [math.exp(x - top) for x in base]
-                out = []
-                for y in range(5):
-                    out.append(math.log(sum(p * math.exp(table[x][y] if way == 0 else table[y][x]) for x, p in enumerate(power)) + 1e-300))
-                most = max(out)
-                old = message[e][way]
-                new = [DAMPING * o + (1 - DAMPING) * (v - most) for o, v in zip(old, out, strict=True)]
-                change = max(change, max(abs(o - v) for o, v in zip(old, new, strict=True)))
-                pair.append(new)
-            fresh.append(pair)
-        message = fresh
-        belief = [[u + sum(message[e][w][x] for e, w in to[k]) for x, u in enumerate(unary[k])] for k in range(len(nodes))]
-        if change < 1e-4:
-            break
-    out = []
-    for b in belief:
-        top = max(b)
-        p = [math.exp(x - top) for x in b]
-        out.append([x / sum(p) for x in p])
-    return out
+    if not chain and not skip:
+        belief = unary
+    else:
+        pairs = np.array(chain + skip)
+        power = np.exp(np.concatenate([np.broadcast_to(model.chain, (len(chain), 5, 5)), np.broadcast_to(model.skip, (len(skip), 5, 5))]))
+        # forward messages, then backward ones
+        source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        power, edges = np.concatenate([power, power.transpose(0, 2, 1)]), len(pairs)
+        message, belief = np.zeros((2 * edges, 5)), unary
+        for _ in range(ROUNDS):
+            # what a node believes, but for what the other end told it
+            own = belief[source] - np.roll(message, edges, 0)
+            own = np.exp(own - own.max(1, keepdims=True))
+            new = np.log(np.einsum("ex,exy->ey", own, power) + 1e-300)
+            new = DAMPING * message + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+            change = np.abs(new - message).max()
+            message, belief = new, unary.copy()
+            np.add.at(belief, target, message)
+            if change < 1e-4:
+                break
+    p = np.exp(belief - belief.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def spans_of(model: Crf, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -250,8 +236,7 @@ def spans_of(model: Crf, text: str) -> tuple[list[tuple[str, int, int]], list[tu
     if len(nodes) == len(base):
         return base, base
     added = []
-    for n, p in zip(nodes, marginals(model, nodes), strict=True):
-        best = max(range(5), key=lambda x: (p[x], -x))
+    for n, best in zip(nodes, marginals(model, nodes).argmax(1).tolist(), strict=True):
         if n.label is None and best:
             added.append((LABELS[best], n.start, n.end))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
