@@ -9,7 +9,7 @@ import pytest
 from tidemark.llm import media as M
 
 
-@pytest.mark.parametrize("n", [64, 128, 960, 1024, 1088, 4096, 64 * 1001])
+@pytest.mark.parametrize("n", [64, 128, 960, 1024, 1088, 4096, 64 * 1001, 64 * (16 * 1024 * 2 + 5)])
 def test_lossless(n):
     for payload in (os.urandom(n), bytes(n), b"\xff" * n, bytes([255, 0] * (n // 2)), bytes(range(64)) * (n // 64)):
         data = M.encode(payload)

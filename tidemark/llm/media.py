@@ -40,6 +40,8 @@ RATE = 25
 BINS = 16
 CUT_WINDOW, CUT_SIGMAS, CUT_LEAST = 12, 2.0, 0.05
 UNIT = 64
+#: Frames that are coded or decoded as one array.
+SLAB = 1_024
 
 #: Bits of a difference -> length of its code: nine bits for every sample.
 CODE_BITS = {s: 9 - s for s in range(9)}
@@ -98,9 +100,9 @@ def _jpeg_head(rows: int) -> bytes:
 
 
 def _frame_groups(samples: np.ndarray) -> list[np.ndarray]:
-    """(frames, rows, SIDE) arrays: the full frames, then the last one."""
+    """(frames, rows, SIDE) arrays: the full frames, at most SLAB at a time, then the last one."""
     full = len(samples) // ROWS * ROWS
-    groups = [samples[:full].reshape(-1, ROWS, SIDE)] if full else []
+    groups = [samples[i : min(i + SLAB * ROWS, full)].reshape(-1, ROWS, SIDE) for i in range(0, full, SLAB * ROWS)]
     return groups + ([samples[full:].reshape(1, -1, SIDE)] if full < len(samples) else [])
 
 
@@ -201,7 +203,7 @@ def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
     i = 0
     while i < len(parsed):
         j = i
-        while j < len(parsed) and parsed[j][:2] == parsed[i][:2]:
+        while j < len(parsed) and j < i + SLAB and parsed[j][:2] == parsed[i][:2]:
             j += 1
         rows, columns, _ = parsed[i]
         words = _unpack9(np.frombuffer(b"".join(p[2] for p in parsed[i:j]), np.uint8))
