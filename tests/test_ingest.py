@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tidemark import Kind, NotMonotonic, SchemaError, Series, SeriesFull, SeriesSchema
 from tidemark.operators import admit_monotonic, assign_sequence, assign_sequence_single, fence_index, lower_bounds, rejects, retain_newest
-from tidemark.sources import SeriesStore, encode_logs, export_log, read_logs
+from tidemark.sources import SeriesStore, encode_logs, export_log, read_logs, record_log
 
 VALUE = SeriesSchema.of(timestamp=Kind.I64, value=Kind.F64)
 ARRIVING = "n long, k string, timestamp long, value double"
@@ -103,6 +103,21 @@ def test_log_round_trip(spark, tmp_path):
     back = read_logs(spark, str(tmp_path), schema, magic=b"TEST")
     assert back.select("series").distinct().first()[0] == "a"
     assert [tuple(r) for r in back.drop("series").orderBy("timestamp").collect()] == [tuple(r) for r in rows.orderBy("timestamp").collect()]
+    ranged = record_log(spark, str(tmp_path / "*.bin"), schema, rows_per_task=64)
+    assert ranged.rdd.getNumPartitions() == 16
+    assert [tuple(r) for r in ranged.drop("series").orderBy("timestamp").collect()] == [tuple(r) for r in rows.orderBy("timestamp").collect()]
+    few = record_log(spark, str(tmp_path / "*.bin"), schema, start=100, end=130, rows_per_task=64)
+    assert few.rdd.getNumPartitions() == 2 and sorted(r["timestamp"] for r in few.collect()) == list(range(100, 130))
+    none = record_log(spark, str(tmp_path / "*.bin"), schema, start=5000, end=6000, rows_per_task=64)
+    assert none.count() == 0
     (tmp_path / "a.bin").write_bytes((tmp_path / "a.bin").read_bytes()[:-1])
     with pytest.raises(Exception, match="multiple"):
         read_logs(spark, str(tmp_path), schema).count()
+
+
+def test_wrapped_log_is_read_by_time(spark, tmp_path):
+    schema = SeriesSchema.of(timestamp=Kind.I64, value=Kind.F64)
+    wrapped = np.array([(t, float(t)) for t in (70, 80, 30, 40, 50, 60)], [("timestamp", "<i8"), ("value", "<f8")])
+    (tmp_path / "w.bin").write_bytes(bytes(12) + wrapped.tobytes())
+    rows = record_log(spark, str(tmp_path / "w.bin"), schema, start=35, end=75, rows_per_task=4)
+    assert [r["timestamp"] for r in rows.orderBy("timestamp").collect()] == [40, 50, 60, 70]

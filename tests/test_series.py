@@ -55,7 +55,10 @@ def test_statistics(spark):
     s = series(spark, hundreds(5, 10.0))
     assert s.stats("value", 0, 600).first() == (10.0, 50.0, 150.0, 5, 30.0)
     assert s.stats("value", 200, 450).first() == (20.0, 40.0, 90.0, 3, 30.0)
-    assert s.latest_value("value") == (50.0, 500)
+    assert s.latest_value("value") == s.latest_value(1) == (50.0, 500)
+    assert s.stats(1, 0, 600).first() == s.stats("value", 0, 600).first()
+    with pytest.raises(UnknownField):
+        s.stats(2)
     bounded = series(spark, hundreds(7, 10.0), keep=5)
     assert bounded.latest_value("value") == (70.0, 700)
     assert bounded.stats("value", 0, 1000).first() == (30.0, 70.0, 250.0, 5, 50.0)

@@ -115,6 +115,14 @@ class SeriesSchema:
             raise UnknownField(f"{name!r} is not one of {self.names}")
         return self.names.index(name)
 
+    def resolve(self, field: str | int) -> str:
+        """A field's name, from its name or its index."""
+        if isinstance(field, int):
+            if not 0 <= field < len(self.fields):
+                raise UnknownField(f"{field} is not an index of {self.names}")
+            return self.names[field]
+        return self.names[self.position(field)]
+
     def kind(self, name: str) -> Kind:
         return self.fields[self.position(name)].kind
 

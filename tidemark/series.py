@@ -58,20 +58,20 @@ class Series:
             found = found.where(c)
         return in_order(found, self.schema.time, self.keys)
 
-    def stats(self, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
-        """min, max, sum, count and mean of a field, for each series or, without keys, in one row."""
-        value = as_number(self.schema, name)  # an unknown field fails even for an empty range
+    def stats(self, field: str | int, start: int | None = None, end: int | None = None) -> DataFrame:
+        """min, max, sum, count and mean of a field, by name or index, for each series or, without keys, in one row."""
+        value = as_number(self.schema, self.schema.resolve(field))  # an unknown field fails even for an empty range
         df = self.df if start is None or end is None else range_scan(self.df, self.schema.time, start, end)
         return df.groupBy(*self.keys).agg(*statistics(value)) if self.keys else df.agg(*statistics(value))
 
-    def latest(self, name: str) -> DataFrame:
+    def latest(self, field: str | int) -> DataFrame:
         """value and timestamp of the newest row of each series."""
-        found = latest(self.schema, name)
+        found = latest(self.schema, self.schema.resolve(field))
         return self.df.groupBy(*self.keys).agg(*found) if self.keys else self.df.agg(*found).where(F.col("timestamp").isNotNull())
 
-    def latest_value(self, name: str) -> tuple[float, int]:
+    def latest_value(self, field: str | int) -> tuple[float, int]:
         """The newest value of a single series; an empty one raises."""
-        found = latest(self.schema, name)
+        found = latest(self.schema, self.schema.resolve(field))
         row = self.df.agg(*found).first()
         if row["timestamp"] is None:
             raise EmptySeries("no rows")

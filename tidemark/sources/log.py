@@ -28,7 +28,8 @@ def record_type(schema: SeriesSchema) -> np.dtype:
     return np.dtype([(f.name, f.kind.numpy) for f in schema.fields])
 
 
-def _column(kind: Kind, values: np.ndarray) -> pa.Array:
+def as_column(kind: Kind, values: np.ndarray) -> pa.Array:
+    """A field's values as Arrow."""
     if kind is Kind.STRING:
         return pa.array([v.decode("utf-8", "replace") for v in values.tolist()], pa.string())
     if kind is Kind.U64:
@@ -56,7 +57,7 @@ def decode_logs(files: DataFrame, schema: SeriesSchema, *, header_bytes: int = L
                 records = decode_log(content.as_py(), schema, header_bytes, magic)
                 for at in range(0, len(records), RECORDS_A_BATCH):
                     part = records[at : at + RECORDS_A_BATCH]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *(_column(f.kind, part[f.name]) for f in schema.fields)], names=["series", *schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *(as_column(f.kind, part[f.name]) for f in schema.fields)], names=["series", *schema.names])
 
     return files.select("series", "content").mapInArrow(run, T.StructType([T.StructField("series", T.StringType()), *schema.spark().fields]))
 
