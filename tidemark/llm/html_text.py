@@ -5,9 +5,9 @@ outside links; a line inside chrome (menus, headers and footers of the page,
 sidebars, notices, adverts, forms, comments) counts as zero.  Sums over a sliding
 window of lines give the block distribution; the main text lies between the point
 where it surges and the point where it dives.  Where the page names its article
-(``article``, ``main``, an articleBody), the line lengths outside it are zero too,
-which moves the surge and the dive to its ends, and the whole stretch between is
-kept, short lines included.
+(``article``, ``main``, an articleBody), the line lengths outside it are zero too and
+its own lines count at least one, so the distribution surges and dives at its ends
+and short lines stay; of articles that lie apart, the heaviest is the main text.
 
 Defined cases: null and empty html, and pages without a line of main text, give an
 empty text; unclosed and misnested tags close at the next block that rules them out;
@@ -205,24 +205,20 @@ def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
 
 
 def main_text(page: str) -> str:
-    lines = page_lines(page)
-    named = any(a and not c for *_, c, a in lines)
-    if named:
-        # outside the article the distribution is zero: it surges at the article's first line and dives after its last
-        lengths = [max(1, n) if a and not c else 0 for _, n, c, a in lines]
-        inside = [i for i, n in enumerate(lengths) if n]
-        first, last = inside[0], inside[-1] + 1
-        return "\n".join(t for (t, *_), n in zip(lines[first:last], lengths[first:last], strict=True) if n)
     # chrome inside the text doesn't cut it in two
-    lines = [x for x in lines if not x[2]]
-    lengths = [n for _, n, *_ in lines]
-    first, last = stretch(lengths)
-    if first == last:  # no block surges: a page of a few short lines
-        first, last = stretch(lengths, surge=1)
+    lines = [x for x in page_lines(page) if not x[2]]
+    named = any(a for *_, a in lines)
+    # beside a named article the distribution is zero, and inside it no line is
+    lengths = [max(1, n) if named and a else 0 if named else n for _, n, _, a in lines]
+    # 1: a page of a few short lines, or an article that begins with some
+    for surge in (1,) if named else (SURGE, 1):
+        first, last = stretch(lengths, surge=surge)
+        if last:
+            break
     # a window reaches past the line that lifts it: leave out the empty lines at the start
     while first < last and not lengths[first]:
         first += 1
-    return "\n".join(t for t, *_ in lines[first:last])
+    return "\n".join(t for (t, *_), n in zip(lines[first:last], lengths[first:last], strict=True) if n or not named)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
