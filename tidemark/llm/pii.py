@@ -13,10 +13,11 @@ potentials, each occurrence with the next one, so a string that repeats n times
 n - 1 edges.  Loopy message passing makes the labels of a document agree, and a
 candidate whose most likely label isn't "none" becomes a span.
 
-Training is piecewise: each kind of potential is fitted by itself, from counts in a
-bounded sample (``MAX_FIT_ROWS`` documents in the order of a hash of the id).  Shapes
-are counted on masked matches (a phone number without its country code, an account
-name without its domain) against candidates that are no matches.
+Training is piecewise: each kind of potential is fitted by itself, from counts over
+all documents.  Shapes are counted on masked matches (a phone number without its
+country code, an account name without its domain) against candidates that are no
+matches.  A shape is up to six group lengths and its separators, so the counts that
+reach the driver are bounded by the format and not by the corpus.
 
 Defined cases: null and empty texts have no spans; a number that fails its check
 digit or range never becomes a span of that kind through its shape; spans of the
@@ -41,7 +42,6 @@ from tidemark.llm.common import struct_of, texts_of, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-MAX_FIT_ROWS = 20_000
 ROUNDS, DAMPING = 30, 0.5
 
 ANY = re.compile("[0-9@]|\\bat\\b")
@@ -257,11 +257,8 @@ def _count(text: str, counts: Counter) -> None:
             counts[name, nodes[i].label or "none", nodes[j].label or "none"] += 1
 
 
-def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = MAX_FIT_ROWS) -> Crf:
-    """Potentials from counts in a bounded sample of the documents."""
-    rows = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    # at most max_fit_rows ids of eight bytes
-    picked = rows.select("_id").where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows)
+def fit(documents: DataFrame, *, text_col: str = "text") -> Crf:
+    """Potentials from counts over all documents, added up in each task before they are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -272,7 +269,7 @@ def fit(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((*k, n) for k, n in counts.items()), strict=True)], names=["what", "a", "b", "n"])
 
-    counted = rows.join(F.broadcast(picked), "_id").select("text").mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    counted = documents.select(F.col(text_col).alias("text")).mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     return from_counts({(r["what"], r["a"], r["b"]): r["n"] for r in counted})
 
 
