@@ -149,9 +149,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows) for y in (0, 1)]
     # at most 2 * max_fit_rows ids of 24 bytes: small enough to broadcast at any input size
     rows = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("_text", "_y", "_fold")
-    # near copies of a text share their least shingle most of the time, and are learned once
+    # near copies of a text share their least shingle most of the time, and are learned once: always the same one, also when a lost part is computed again
     counted = None
-    rows = map_rows(rows, _with_least_shingle, struct_of("_text string, _y int, _fold int, _h long")).dropDuplicates(["_h", "_y"]).drop("_h").persist()
+    rows = map_rows(rows, _with_least_shingle, struct_of("_text string, _y int, _fold int, _h long")).groupBy("_h", "_y").agg(F.min(F.struct(F.xxhash64("_text", "_fold"), "_text", "_fold")).alias("x")).select("x._text", "_y", "x._fold").persist()
     try:
         sizes = {(r["_y"], r["c"]): r["n"] for r in rows.groupBy("_y", (F.col("_fold") == FOLDS - 1).alias("c")).agg(F.count("*").alias("n")).collect()}
         toxic, clean = (sum(n for (y, _), n in sizes.items() if y == v) for v in (1, 0))
