@@ -1,7 +1,7 @@
 """Admission, sequence numbers and retention.
 
-Windows are partitioned by the series' key; a single series without a key has its
-own operator where one task would otherwise get all rows.
+Windows are partitioned by the series' key; where one series holds most of the rows,
+or there is no key, ``split`` has the same operators over range partitions.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.split import assign_sequence_split
+
 
 def _ahead(df: DataFrame, keys: list[str], arrival: str, time: str, stored: DataFrame | None) -> tuple[DataFrame, Column]:
     """Whether a row's time exceeds all earlier ones, stored ones included.
@@ -49,19 +51,8 @@ def assign_sequence(df: DataFrame, keys: list[str], arrival: str, time: str, sto
 
 
 def assign_sequence_single(df: DataFrame, arrival: str, time: str, first: int = 1) -> DataFrame:
-    """One series of any length: range partitions by arrival, numbered from their counts.
-
-    The partitions are checkpointed, so that counts and numbers see the same ones.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    dealt = df.repartitionByRange(arrival).withColumn("_part", F.spark_partition_id()).checkpoint()
-    # a row for each partition
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_part").orderBy(arrival))
-    return dealt.join(F.broadcast(before), "_part").withColumn(time, (n + F.col("_before") + F.lit(first - 1)).cast("long")).select(*df.columns)
+    """One series of any length: range partitions by arrival, numbered from their counts."""
+    return assign_sequence_split(df, [], arrival, time, first=first)
 
 
 def retain_newest(df: DataFrame, keys: list[str], time: str, n: int) -> DataFrame:

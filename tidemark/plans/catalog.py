@@ -14,7 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import equals, micros, time_literal
-from tidemark.operators import admit_monotonic, assign_sequence, assign_sequence_single, fence_index, frame_checksum, frames, in_order, lower_bounds, multi_range, range_scan, rejects, retain_newest, retain_oldest
+from tidemark.operators import (
+    admit_monotonic,
+    admit_monotonic_split,
+    assign_sequence,
+    assign_sequence_single,
+    assign_sequence_split,
+    fence_index,
+    frame_checksum,
+    frames,
+    in_order,
+    lower_bounds,
+    multi_range,
+    places,
+    range_scan,
+    rejects,
+    retain_newest,
+    retain_oldest,
+)
 from tidemark.plans import streams
 from tidemark.schema import Kind, SeriesSchema
 from tidemark.series import Series
@@ -298,6 +315,21 @@ def ingest_sequence_single(spark, sf_dir):
     return assign_sequence_single(named(raw(spark, sf_dir)).select("event_id", "t"), "event_id", "t")
 
 
+@query(ORACLE_SQL["ingest_monotonic"])
+def ingest_monotonic_split(spark, sf_dir):
+    return admit_monotonic_split(orders(spark, sf_dir), ["o_orderpriority"], "o_orderkey", "t")
+
+
+@query(ORACLE_SQL["ingest_sequence"])
+def ingest_sequence_split(spark, sf_dir):
+    return assign_sequence_split(named(raw(spark, sf_dir)).select("event_id", "event_type", "t"), ["event_type"], "event_id", "t")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS place FROM events")
+def series_places(spark, sf_dir):
+    return places(named(raw(spark, sf_dir)).select("event_id", "event_type", "t"), ["event_type"], "t").drop("t")
+
+
 def _newest(columns: str) -> str:
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events) WHERE rn <= {KEEP}"
 
