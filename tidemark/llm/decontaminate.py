@@ -9,7 +9,7 @@ end with it, and direct comparison confirms an occurrence.
 
 The benchmark is the only thing sent to every task.  Its size is checked: beyond
 ``MAX_BROADCAST_PATTERNS`` windows the search runs over one bounded slice of the
-benchmark after another and adds the slices' hits up.
+benchmark after another, in a pass of its own, and adds the slices' hits up.
 
 Defined cases: null and empty texts have no words; benchmark texts without words
 and null ones have no window; an item id of null is left out; a window that several
@@ -21,14 +21,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, struct_of, texts_of
+from tidemark.llm.common import arrow_schema, durable, struct_of, texts_of
 
 #: Over UTF-8 bytes: digits, lower-case letters, and every byte of a non-ASCII character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -142,28 +142,41 @@ def slices(benchmark: list[tuple[str, str]], most: int = MAX_BROADCAST_PATTERNS)
 FOUND = struct_of("doc_id long, n_words long, hit_from long[], hit_to long[], items string[]")
 
 
+def _over_slices(df: DataFrame, parts: list[list[tuple[str, str]]], run: Callable[[list[tuple[str, str]]], Callable], schema: T.StructType) -> DataFrame:
+    """One pass for each slice: a task holds one slice's tables, and builds them once."""
+    for k, part in enumerate(parts):
+        df = df.mapInArrow(run(part), schema)
+        if k + 1 < len(parts):
+            df = durable(df)
+    return df
+
+
 def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
     """``(doc_id, n_words, hit_from, hit_to, items)``: hit words as spans, and the items found."""
     parts = slices(read_benchmark(benchmark, item_col=item_col, text_col=item_text_col), most)
-    schema = arrow_schema(FOUND)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, numbers, spans, items = [], [], [], []
-        patterns = Patterns(parts[0], window) if len(parts) == 1 else None
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            numbers, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-            for part in parts:
-                own = patterns or Patterns(part, window)
-                for i, text in enumerate(texts):
-                    numbers[i], found, names = own.find(text)
-                    spans[i] += found
-                    items[i] |= names
-            spans = [merge(x) for x in spans]
-            columns = [batch.column("doc_id"), pa.array(numbers, pa.int64()), pa.array([[a for a, _ in x] for x in spans], schema.field("hit_from").type), pa.array([[b for _, b in x] for x in spans], schema.field("hit_to").type), pa.array([sorted(x) for x in items], schema.field("items").type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    many = len(parts) > 1  # then the text goes with the row to the next slice
+    result = T.StructType([*FOUND.fields, T.StructField("text", T.StringType())]) if many else FOUND
+    schema = arrow_schema(result)
+
+    def over(part: list[tuple[str, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns(part, window)
+            for batch in batches:
+                found = [patterns.find(t) for t in texts_of(batch, "text")]
+                spans, items = [x for _, x, _ in found], [x for *_, x in found]
+                if "items" in batch.schema.names:  # what earlier slices found
+                    before = zip(*(batch.column(c).to_pylist() for c in ("hit_from", "hit_to", "items")), strict=True)
+                    for i, (starts, ends, names) in enumerate(before):
+                        spans[i] = merge(spans[i] + list(zip(starts, ends, strict=True)))
+                        items[i] |= set(names)
+                columns = [batch.column("doc_id"), pa.array([n for n, *_ in found], pa.int64()), pa.array([[a for a, _ in x] for x in spans], schema.field("hit_from").type), pa.array([[b for _, b in x] for x in spans], schema.field("hit_to").type), pa.array([sorted(x) for x in items], schema.field("items").type)]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column("text").cast(pa.string())] * many, schema=schema)
+
+        return run
+
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _over_slices(rows, parts, over, result)
+    return found.drop("text") if many else found
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -184,7 +197,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: s
 
         return run
 
-    return reduce(lambda df, part: df.mapInArrow(over(part), df.schema), parts, documents)
+    return _over_slices(documents, parts, over, documents.schema)
 
 
 def brute_force(text: str, benchmark: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
