@@ -162,6 +162,17 @@ def test_too_long_a_list_is_refused(spark, monkeypatch):
         U.verdicts(spark.createDataFrame([], "page_id long, url string"))
 
 
+def test_labels_block_under_every_ending(spark):
+    want = {"http://m.casino-win.example.com/x": "block", "http://Casino-Win.example.net": "block", "http://casino-win.b.net/": "block", "http://xcasino-win.example.com/": "allow", "http://casino-win.example.org/": "allow", "http://b.net/casino-win": "allow"}
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    found = U.verdicts(pages, labels=["Casino-win"]).collect()
+    assert {r["url"]: r["verdict"] for r in found} == want
+    assert {r["url"]: r["rule"] for r in found if r["rule"]} == {"http://casino-win.example.org/": "org/"}
+    entries, lengths = U.entries_of(labels=["Casino-win"])
+    joined = U.join_verdicts(pages, spark.createDataFrame(entries, "string string, value string"), lengths).collect()
+    assert {(r["url"], r["rule"], r["verdict"]) for r in joined} == {(r["url"], r["rule"], r["verdict"]) for r in found}
+
+
 def test_odd_urls(odd_pages):
     found = U.verdicts(odd_pages).collect()
     assert len(found) == 11 and {r["verdict"] for r in found} <= {"allow", "block"}

@@ -7,7 +7,8 @@ of a batch are looked up by one vectorised binary search, and each hit is confir
 against the stored full string, so a collision can't give a verdict.
 
 The longest rule that fits wins.  Without one, a URL is blocked if its host or a
-parent domain is on the block list, and allowed otherwise.
+parent domain is on the block list, or if a label of its host is on the list of
+blocked labels, which holds under every domain ending; else it is allowed.
 
 The array is sent to every task only while it has at most ``MAX_ENTRIES`` strings
 of ``MAX_BYTES`` in all; a longer list is refused here and goes to ``join_verdicts``,
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: The method's own list: hosts that are blocked, with their subdomains, where no rule fits.
 BLOCKED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+#: What marks a label's probe; no host and no rule begins with a slash.
+LABEL = "/label:"
 MAX_ENTRIES, MAX_BYTES = 5_000_000, 200 << 20
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,25 +94,26 @@ def suffixes(host: str) -> list[str]:
 
 
 def probes_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Rule strings that could fit, the longest first, and the host's own probes."""
+    """Rule strings that could fit, the longest first, the host's own probes, and its labels'."""
     names = suffixes(host)
     rules = {n + path[:k] for n in names for k in lengths if k <= len(path)}
-    return sorted(rules, key=lambda x: (-len(x), x)) + ["host:" + n for n in names]
+    return sorted(rules, key=lambda x: (-len(x), x)) + ["host:" + n for n in names] + [LABEL + x for x in dict.fromkeys(host.split(".")) if x]
 
 
-def entries_of(rules=RULES, blocked=BLOCKED_HOSTS) -> tuple[list[tuple[str, str]], list[int]]:
+def entries_of(rules=RULES, blocked=BLOCKED_HOSTS, labels=()) -> tuple[list[tuple[str, str]], list[int]]:
     """The array's strings, and the lengths of the rules' paths."""
     cut = [(r, v, r.partition("/")) for r, v in rules]
     lengths = sorted({len(sep + rest) for _, _, (_, sep, rest) in cut}, reverse=True)
-    return [(host.translate(_LOWER) + sep + rest, v) for _, v, (host, sep, rest) in cut] + [("host:" + h.translate(_LOWER), "block") for h in blocked], lengths
+    hosts = [("host:" + h.translate(_LOWER), "block") for h in blocked] + [(LABEL + x.translate(_LOWER), "block") for x in labels]
+    return [(host.translate(_LOWER) + sep + rest, v) for _, v, (host, sep, rest) in cut] + hosts, lengths
 
 
 VERDICT = "page_id long, url string, host string, path string, rule string, verdict string"
 
 
-def verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked=BLOCKED_HOSTS) -> DataFrame:
+def verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked=BLOCKED_HOSTS, labels=()) -> DataFrame:
     """``(page_id, url, host, path, rule, verdict)`` of every row; no shuffle."""
-    entries, lengths = entries_of(rules, blocked)
+    entries, lengths = entries_of(rules, blocked, labels)
     if len(entries) > MAX_ENTRIES or sum(len(s) for s, _ in entries) > MAX_BYTES:
         raise ValueError("the list is too long to send to every task: use join_verdicts")
     names = [x.split()[0] for x in VERDICT.split(", ")]
@@ -128,7 +132,7 @@ def verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 if value is None or rule[i] is not None:
                     continue
                 verdict[i] = value
-                if not probe.startswith("host:"):
+                if not probe.startswith(("host:", LABEL)):
                     rule[i] = probe
             columns = [batch.column("page_id"), batch.column("url"), *(pa.array(x, pa.string()) for x in ([h for h, _ in cut], [p for _, p in cut], rule, verdict))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -154,7 +158,7 @@ def join_verdicts(pages: DataFrame, entries: DataFrame, lengths: list[int], *, i
     probes = rows.mapInArrow(run, "page_id long, turn int, string string").withColumn("key", F.xxhash64("string"))
     listed = entries.select(F.xxhash64("string").alias("key"), F.col("string").alias("listed"), "value")
     first = probes.join(listed, "key").where("string = listed").groupBy("page_id").agg(F.min(F.struct("turn", "string", "value")).alias("x"))
-    found = first.select("page_id", F.when(~F.col("x.string").startswith("host:"), F.col("x.string")).alias("rule"), F.col("x.value").alias("verdict"))
+    found = first.select("page_id", F.when(~F.col("x.string").startswith("host:") & ~F.col("x.string").startswith(LABEL), F.col("x.string")).alias("rule"), F.col("x.value").alias("verdict"))
     return rows.select("page_id", "url").join(found, "page_id", "left").select("page_id", "url", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
