@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_join as N
 from tidemark.llm.graph import components
@@ -127,6 +128,30 @@ def test_odd_rows(odd, nothing):
     assert N.keep_one(nothing).count() == 0
 
 
+def test_repeated_ids_in_groups(spark):
+    """Repeated rows count once, and a text that was not picked forms no link and isn't kept."""
+    base = [f"w{i}" for i in range(100)]
+    near = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (0, 99)]
+    far = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcdefgh"]
+    rows = [(1, near[0], 0), (1, near[0], 1), (1, "", 2), (2, near[1], 3), (2, near[1], 4)]
+    # ids with two texts, each near that of another document: only the picked one links
+    for k, text in enumerate(far):
+        words = text.split()
+        rows += [(10 + k, text, 5), (10 + k, f"other {k} " + text[::-1], 6)]
+        rows += [(100 + k, " ".join([*words[:-1], "y"]), 7), (200 + k, f"other {k} " + text[::-1] + " y", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    key = {r["text"]: bytes(r["k"]) for r in df.select("text", N.text_key(F.col("text")).alias("k")).collect()}
+    want, texts = {1: (1, 1), 2: (1, 1)}, {1: near[0]}
+    for k, text in enumerate(far):
+        other = f"other {k} " + text[::-1]
+        picked, linked, alone = (text, 100 + k, 200 + k) if key[text] < key[other] else (other, 200 + k, 100 + k)
+        want |= {10 + k: (10 + k, 1), linked: (10 + k, 1), alone: (alone, 0)}
+        texts |= {10 + k: picked, alone: next(t for d, t, _ in rows if d == alone)}
+    assert got(df) == want
+    kept = N.keep_one(df).collect()
+    assert len(kept) == len(texts) and {r["doc_id"]: r["text"] for r in kept} == texts
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 6])
 def test_short_texts(spark, n):
     text = " ".join(f"w{i}" for i in range(n))

@@ -20,7 +20,8 @@ more.
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and
 are never linked; a row with a null id takes no part; rows that repeat an id are
-one document (with its smallest text by hash); ties take the smallest id.
+one document (of its texts with a word, the smallest by hash); ties take the
+smallest id.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Memo, column_names_like, durable, map_rows, struct_of, texts_of
@@ -85,6 +86,11 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least >> np.uint32(16)).astype(">u2").tobytes()
 
 
+def text_key(column: Column) -> Column:
+    """The key that tells texts apart, 16 bytes."""
+    return F.unhex(F.md5(column.cast("binary")))
+
+
 def sketches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_key, set_key, sig)`` of each document with a word and an id."""
     memo = word_memo()
@@ -94,14 +100,14 @@ def sketches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         own = Memo(memo._make)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column("id").to_pylist(), texts_of(batch, "text"), strict=True):
+            for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch, "text"), strict=True):
                 hashes = shingles(text, own)
                 if len(hashes) and doc is not None:
-                    out.append((doc, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(hashes.tobytes()), signature(hashes)))
+                    out.append((doc, key, xxhash.xxh3_128_digest(hashes.tobytes()), signature(hashes)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key binary, set_key binary, sig binary")
+    return documents.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key binary, set_key binary, sig binary")
 
 
 def shortest_prefix(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -192,12 +198,13 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.nd
 def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact links inside candidate groups.
 
-    ``members(grp, cid, n_texts)`` and ``texts(cid, text)``; returns ``(cid, links,
-    root)`` rows, where ``links`` counts different texts and ``root`` joins the class
-    to a component.  Groups are cut into blocks before any text is moved.
+    ``members(grp, cid, n_texts, text_key)`` and ``texts(cid, text_key, text)``, whose
+    rows may repeat; returns ``(cid, links, root)`` rows, where ``links`` counts
+    different texts and ``root`` joins the class to a component.  Groups are cut into
+    blocks before any text is moved.
     """
     sizes = durable(members.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, "cid")
+    dealt = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, ["cid", "text_key"]).dropDuplicates(["cid", "text_key"])
     # block b meets every block j: the task (min, max) holds both
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "cid", "n_texts", "text")
@@ -253,12 +260,12 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     # rows that repeat an id are one document
     once = slim.groupBy("id").agg(F.min(F.struct("text_key", "set_key", "sig")).alias("x")).select("id", "x.*")
     one_text = once.groupBy("set_key", "text_key").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    classes = durable(one_text.groupBy("set_key").agg(F.min("cid").alias("cid"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("sig").alias("sig")))
+    classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "sig"))
     groups = components(candidate_pairs(classes))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts"), "cid")
-    texts = documents.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
-    found = durable(verified(members.select("grp", "cid", "n_texts"), texts))
+    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "text_key"), "cid")
+    texts = documents.select(F.col(id_col).cast("long").alias("cid"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
+    found = durable(verified(members.select("grp", "cid", "n_texts", "text_key"), texts))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     whole = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
@@ -269,14 +276,20 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that with the least id; rows with a null id all stay."""
-    (gone,) = column_names_like(documents, ["copy_of_another"])
+    """One row of each class: that with the least id; rows with a null id all stay.
+
+    Of rows that repeat an id, one with the text that was compared stays.
+    """
+    gone, same, key = column_names_like(documents, ["copy_of_another", "same_id", "compared_key"])
     copies = similarity_classes(documents, id_col=id_col, text_col=text_col).where("class_id != doc_id").select(F.col("doc_id").alias(gone))
     kept = documents.join(copies, documents[id_col].cast("long") == F.col(gone), "left_anti")
     repeated = documents.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    rows = documents.join(repeated.select(id_col), id_col, "left_semi")
+    compared = sketches(rows, id_col=id_col, text_col=text_col).groupBy("id").agg(F.min("text_key").alias(key)).withColumnRenamed("id", same)
+    one = kept.join(compared, kept[id_col].cast("long") == F.col(same), "left").where(F.col(key).isNull() | (text_key(F.col(text_col)) == F.col(key)))
+    return one.select(kept.columns).dropDuplicates([id_col]).where(F.col(id_col).isNotNull()).unionByName(kept.where(F.col(id_col).isNull()))
 
 
 def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
