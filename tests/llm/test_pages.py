@@ -26,6 +26,32 @@ def test_line_blocks_without_a_named_article():
     assert [x[:7] for x in lines] == ["A long ", "Short.", "Another"]
 
 
+def test_every_part_of_a_named_article_stays():
+    apart = "<p>beside</p>" * 4
+    assert H.main_text(PAGE % f"<article><p>One.</p></article>{apart}<article><p>Two, which is longer.</p></article>") == "One.\nTwo, which is longer."
+
+
+def test_links_inside_the_text_do_not_cut_it():
+    long, other = "A long paragraph with many words in it. " * 3, "Another one with words of its own. " * 2
+    links = "<ul>" + "".join(f"<li><a href={i}>link {i}</a></li>" for i in range(4)) + "</ul>"
+    want = [long.strip(), *(f"link {i}" for i in range(4)), other.strip()]
+    assert H.main_text(PAGE % f"<div><p>{long}</p>{links}<p>{other}</p></div>").split("\n") == want
+    assert H.main_text(PAGE % f"<div><div><p>{long}</p></div>{links}<p>{other}</p></div>").split("\n") == want
+    assert H.main_text(PAGE % f"<div><p>{long}</p></div>{links}<div><p>{other}</p></div>") == long.strip()
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='header-fixed'", "form id=page"])
+def test_an_article_in_a_wrapper_that_looks_like_chrome(wrapper):
+    page = f"<body><{wrapper}><div class=menu>Menu</div>%s<p>out</p></{wrapper.split()[0]}></body>"
+    assert H.main_text(page % "<main><p>in</p><div class=share>Share</div></main>") == "in"
+    assert H.main_text(page % "<article><p>in</p></article>") == "in"
+
+
+@pytest.mark.parametrize("wrapper", ["div class=related-posts", "div class=comments", "aside", "nav"])
+def test_articles_of_other_parts_stay_out(wrapper):
+    assert H.main_text(f"<article><p>in</p></article><{wrapper}><article><p>some other and longer text</p></article></{wrapper.split()[0]}>") == "in"
+
+
 def test_stretch():
     assert H.stretch([0, 0, 50, 60, 0, 40, 0, 0, 0, 0, 45]) == (0, 6)
     assert H.stretch([0, 1, 2]) == (0, 0)

@@ -7,7 +7,13 @@ window of lines give the block distribution; the main text lies between the poin
 where it surges and the point where it dives.  Where the page names its article
 (``article``, ``main``, an articleBody), the line lengths outside it are zero too and
 its own lines count at least one, so the distribution surges and dives at its ends
-and short lines stay; of articles that lie apart, the heaviest is the main text.
+and short lines stay; every stretch of a named article is kept.  Without one, the
+heaviest stretch is the main text, with those whose container is the same, around it
+or inside it (the page's body is around nothing but its own lines).
+
+A wrapper that is chrome by its class, or a form, doesn't make an article inside it
+chrome, if that outweighs the articles outside such wrappers; menus, sidebars and
+footers by name, hidden parts, and wrappers of comments, adverts and related pages do.
 
 Defined cases: null and empty html, and pages without a line of main text, give an
 empty text; unclosed and misnested tags close at the next block that rules them out;
@@ -47,6 +53,12 @@ CHROME_WORD = re.compile(
 )
 ARTICLE_WORD = re.compile(r"(?:^|[\s_-])(?:articlebody|article-body|article-content|article-text|post-content|post-body|entry-content|main-content|story-body)(?:$|\s)", re.I)
 
+#: Of these, the words of parts that hold articles of their own.
+OWN_ARTICLES = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|discussion)(?:$|[\s_-])", re.I
+)
+CONTAINERS = frozenset("div td main article".split())
+
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S)
 TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: As TAG for pages with a quote that never closes: a tag ends at the next bracket.
@@ -59,38 +71,56 @@ SPACE = re.compile(r"\s+")
 class _Open:
     """An open element, with what it or one around it is."""
 
-    __slots__ = ("article", "chrome", "link", "name")
+    __slots__ = ("article", "box", "chrome", "lifted", "link", "name")
+
+    def __init__(self, name: str, chrome: int, article: bool, link: bool, lifted: bool, box: _Box):
+        self.name, self.chrome, self.article, self.link, self.lifted, self.box = name, chrome, article, link, lifted, box
+
+
+class _Box:
+    """A container: its first line, and the one after its last (None: the page's body)."""
+
+    __slots__ = ("end", "first")
+
+    def __init__(self, first: int, end: int | None = None):
+        self.first, self.end = first, end
+
+    def holds(self, other: _Box) -> bool:
+        return self is other or self.end is not None and other.end is not None and self.first <= other.first and other.end <= self.end
+
 
-    def __init__(self, name: str, chrome: bool, article: bool, link: bool):
-        self.name, self.chrome, self.article, self.link = name, chrome, article, link
+#: Chrome that an article inside it can outweigh, and chrome that stays.
+SOFT, HARD = 1, 2
 
 
-def _marks(name: str, rest: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it is the article."""
+def _marks(name: str, rest: str, inside: bool) -> tuple[int, bool]:
+    """Whether and how an element is chrome, and whether it is the article."""
     chrome, article = name in CHROME or (name == "header" and not inside), name in ("article", "main")
+    hard = chrome and name != "form"
     if rest and "=" in rest:
         for m in ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role") and name not in ("body", "html"):
                 chrome = chrome or bool(CHROME_WORD.search(TITLE_HEADER.sub("", value))) and not ARTICLE_WORD.search(value) and name not in ("article", "main")
+                hard = hard or bool(OWN_ARTICLES.search(value))
                 article = article or bool(ARTICLE_WORD.search(value))
                 if name == "article" and re.search(r"comment|related|teaser|promo", value, re.I):
                     chrome, article = True, False
             elif key == "itemprop" and value.lower() == "articlebody":
                 article = True
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                chrome = True
-    return chrome, article and not chrome
+                chrome = hard = True
+    return (HARD if hard else SOFT) if chrome else 0, article and not chrome
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, inside chrome, inside the article) of each line, in page order.
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool, _Box]]:
+    """(text, characters outside links, inside chrome, inside the article, whether that lies in soft chrome, container) of each line, in page order.
 
     One pass: each element knows what surrounds it, and numbers of open elements by
     name spare searches that would find nothing.
     """
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[_Open] = [_Open("", False, False, False)]
+    lines: list[tuple[str, int, bool, bool, bool, _Box]] = []
+    stack: list[_Open] = [_Open("", 0, False, False, False, _Box(0))]
     opened: Counter = Counter()
     parts: list[str] = []
     loose = 0
@@ -100,7 +130,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, loose, stack[-1].chrome, stack[-1].article))
+                lines.append((text, loose, bool(stack[-1].chrome), stack[-1].article, stack[-1].lifted, stack[-1].box))
             parts.clear()
         loose = 0
 
@@ -114,6 +144,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     def cut(depth: int) -> None:
         for x in stack[depth:]:
             opened[x.name] -= 1
+            if x.name in CONTAINERS:
+                x.box.end = len(lines)
         del stack[depth:]
 
     at, n, tag = 0, len(page), TAG
@@ -178,20 +210,24 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         around = stack[-1]
         chrome, article = _marks(name, m[2], around.article)
-        stack.append(_Open(name, around.chrome or chrome, around.article or article, around.link or name == "a"))
+        # the article in soft chrome is judged by itself
+        lifts = article and around.chrome == SOFT
+        box = _Box(len(lines), len(lines)) if name in CONTAINERS else around.box
+        stack.append(_Open(name, chrome if lifts else max(around.chrome, chrome), around.article or article, around.link or name == "a", around.lifted or lifts, box))
         opened[name] += 1
     end_line()
+    cut(1)
     return lines
 
 
-def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """(surge, dive) of the heaviest stretch of line blocks; the dive is exclusive.
+def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(surge, dive) of each stretch of line blocks, in page order; the dive is exclusive.
 
     A block is the sum of ``window`` lines.  A stretch begins where a block reaches
     ``surge`` and ends where blocks fall to zero.
     """
     blocks = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    best, i = (0, 0, 0), 0
+    found, i = [], 0
     while i < len(blocks):
         if blocks[i] < surge:
             i += 1
@@ -199,26 +235,51 @@ def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
         j = i
         while j < len(blocks) and blocks[j] > 0:
             j += 1
-        best = max(best, (sum(lengths[i:j]), -i, j))
+        found.append((i, j))
         i = j + 1
-    return (-best[1], best[2]) if best[0] else (0, 0)
+    return found
+
+
+def heaviest(lengths: list[int], found: list[tuple[int, int]]) -> tuple[int, int]:
+    return max(found, key=lambda x: (sum(lengths[x[0] : x[1]]), -x[0]), default=(0, 0))
+
+
+def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """(surge, dive) of the heaviest stretch."""
+    return heaviest(lengths, stretches(lengths, window, surge))
+
+
+def _container(lines: list[tuple], lengths: list[int], first: int, last: int) -> _Box:
+    """The container of most of a stretch's text."""
+    weight: Counter = Counter()
+    for line, n in zip(lines[first:last], lengths[first:last], strict=True):
+        weight[line[5]] += n
+    return max(weight, key=weight.__getitem__)
 
 
 def main_text(page: str) -> str:
+    lines = page_lines(page)
+    # an article in soft chrome counts if it outweighs those outside
+    plain, lifted = (sum(max(1, x[1]) for x in lines if x[3] and not x[2] and x[4] == v) for v in (False, True))
     # chrome inside the text doesn't cut it in two
-    lines = [x for x in page_lines(page) if not x[2]]
-    named = any(a for *_, a in lines)
+    lines = [x for x in lines if not x[2] and (lifted > plain or not x[4])]
+    named = any(x[3] for x in lines)
     # beside a named article the distribution is zero, and inside it no line is
-    lengths = [max(1, n) if named and a else 0 if named else n for _, n, _, a in lines]
-    # 1: a page of a few short lines, or an article that begins with some
-    for surge in (1,) if named else (SURGE, 1):
-        first, last = stretch(lengths, surge=surge)
-        if last:
-            break
+    lengths = [max(1, x[1]) if named and x[3] else 0 if named else x[1] for x in lines]
+    if named:
+        return "\n".join(lines[i][0] for a, b in stretches(lengths, surge=1) for i in range(a, b) if lengths[i])
+    # 1: a page of a few short lines
+    found = stretches(lengths) or stretches(lengths, surge=1)
+    first, last = heaviest(lengths, found)
+    if len(found) > 1:
+        boxes = [_container(lines, lengths, a, b) for a, b in found]
+        own = boxes[found.index((first, last))]
+        joined = [x for x, box in zip(found, boxes, strict=True) if own.holds(box) or box.holds(own)]
+        first, last = joined[0][0], joined[-1][1]
     # a window reaches past the line that lifts it: leave out the empty lines at the start
     while first < last and not lengths[first]:
         first += 1
-    return "\n".join(t for (t, *_), n in zip(lines[first:last], lengths[first:last], strict=True) if n or not named)
+    return "\n".join(x[0] for x in lines[first:last])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
