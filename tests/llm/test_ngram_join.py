@@ -76,6 +76,75 @@ def test_groups_of_many_blocks(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_large_groups_of_several_sizes(spark, monkeypatch):
+    """Blocks by size and by number of shingles; base sets larger and smaller than the others."""
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 900)
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(70):
+        words = base[: draw.randint(60, 400)]
+        for _ in range(draw.randint(0, 3)):
+            words[draw.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_neighbours_are_those_of_the_sorted_tries(spark):
+    draw = np.random.default_rng(8)
+    labels = draw.integers(0, 2, (300, N.TREES, N.DEPTH)).astype(">u2")
+    classes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(labels)], "cid long, sig binary")
+    turn = {(r["cid"], r["t"]): r["h"] for r in classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(N.TREES - 1))).alias("t")).select("cid", "t", F.xxhash64("cid", "t").alias("h")).collect()}
+    want = set()
+    for t in range(N.TREES):
+        order = sorted(range(300), key=lambda c: (labels[c, t].tobytes(), turn[c, t]))
+        for i, u in enumerate(order):
+            for v in order[max(0, i - N.REACH) : i]:
+                depth = next((d for d in range(N.DEPTH) if labels[u, t, d] != labels[v, t, d]), N.DEPTH)
+                if depth >= N.LEAST_DEPTH:
+                    want.add((u, v, depth))
+    found = {(r["u"], r["v"], r["depth"]) for r in N.neighbours(classes.repartition(7)).collect()}
+    assert found >= want
+    # a seam may also pair rows that are a few places apart
+    assert len(found - want) <= 4 * N.REACH**2 * 4
+
+
+def test_recall_over_many_documents(spark):
+    """Every link that an index of all shingles finds."""
+    draw, rows = random.Random(23), []
+    for i in range(4_000):
+        words = [f"w{draw.randint(0, 3_000)}" for _ in range(draw.randint(30, 300))]
+        if rows and draw.random() < 0.6:
+            words = draw.choice(rows[-400:])[1].split(" ")
+            for _ in range(draw.randint(1, 1 + len(words) // 30)):
+                words[draw.randrange(len(words))] = f"e{draw.randint(0, 99)}"
+        rows.append((i, " ".join(words)))
+    memo, owners, sets = N.word_memo(), {}, {}
+    for d, t in rows:
+        sets[d] = N.shingles(t, memo).tolist()
+    together = {}
+    for d, own in sets.items():
+        shared = {}
+        for h in own:
+            for e in owners.get(h, ()):
+                shared[e] = shared.get(e, 0) + 1
+            owners.setdefault(h, []).append(d)
+        together[d] = [e for e, n in shared.items() if 9 * n >= 4 * (len(own) + len(sets[e]))]
+    texts = dict(rows)
+    links = {d: set() for d in sets}
+    for d, others in together.items():
+        for e in others:
+            if texts[d] != texts[e]:
+                links[d].add(texts[e])
+                links[e].add(texts[d])
+    found = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    total = sum(map(len, links.values()))
+    assert total > 2_000
+    assert sum(found[d][1] for d in sets) >= 0.999 * total
+    assert all(found[d][1] <= len(links[d]) for d in sets)
+
+
 def test_exact_links_in_column_chunks(monkeypatch):
     monkeypatch.setattr(N, "COLUMNS", 5)
     draw = np.random.default_rng(3)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of text that a Python worker turns into strings at a time; a longer text goes alone.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +43,7 @@ def durable(df: DataFrame) -> DataFrame:
 class Memo(dict):
     """A dict that computes missing values and forgets everything at its bound."""
 
-    def __init__(self, make: Callable, bound: int = 400_000):
+    def __init__(self, make: Callable, bound: int = 100_000):
         super().__init__()
         self._make, self._bound = make, bound
 
@@ -53,6 +59,27 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def _tidy() -> None:
+    """Give what a task has freed back to the system: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` bytes of a column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+        del batch
+    _tidy()
+
+
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with one output batch, or none, for each input batch."""
 

@@ -6,22 +6,29 @@ more.
 
 1. One Python pass turns each text into a signature of ``TREES * DEPTH`` minima.
    Texts with equal shingle sets are one class from there on, so copies cost nothing.
-2. Each tree sorts the classes by their label sequence.  Matched prefixes start at
-   full depth and are shortened until ``1 - (1 - s**depth)**trees`` reaches the
-   target recall at the threshold, and further while the links found say that
-   recall is lower.  Classes under one trie node are linked to a pivot of that node
-   (another one in each tree), so a node of n classes gives n - 1 pairs, never all.
-   A pair stays if its signatures agree in half the places, far below the threshold:
-   through a pivot, a link of 0.8 can't be cut by the estimate's error.
-3. Connected components of those pairs are the candidate groups.  Inside a group,
-   all shingle sets are compared exactly; a group of over ``BLOCK`` classes is cut
-   into blocks, and each pair of blocks is a task of its own of bounded size.  No
-   pair leaves the task: it returns numbers of links and a spanning forest.
+2. Each tree sorts the classes by their label sequence, which lays its prefix trie
+   out flat: the classes under a node are neighbours, and the labels that two
+   neighbours share from the start are the depth of the node that parts them.  The
+   sort is by range, so no node, however full, has to fit a task.  Each class meets
+   the ``REACH`` classes before it, at the deepest node they share, never all of a node.
+3. A class's matched prefix starts at full depth and is shortened for everyone until
+   ``1 - (1 - s**depth)**trees`` reaches the target recall at the threshold.  From
+   there each class shortens its own prefix on, down to ``LEAST_DEPTH``, until the
+   share of trees in which its links were hit says that a link is missed by all trees
+   with less than the target's chance.  A pair counts at the shorter of its two
+   prefixes, if its signatures agree in half the places, far below the threshold.
+4. Connected components of those pairs are the candidate groups, and inside a group
+   the shingle sets are compared exactly.  A group that fits one task is compared
+   where its texts meet.  A larger one is dealt into chunks that each hold the group's
+   base set, where each set is written as its differences from the base; sets whose
+   sizes alone rule a link out never meet, and the others meet as pairs of blocks of
+   bounded rows and shingles.  No text is moved more than twice, and no pair leaves a
+   task: it returns numbers of links and a spanning forest.
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and
 are never linked; a row with a null id takes no part; rows that repeat an id are
 one document (of its texts with a word, the smallest by hash); ties take the
-smallest id.
+smallest id; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, column_names_like, durable, map_rows, struct_of, texts_of
+from tidemark.llm.common import Memo, bounded, column_names_like, durable, map_rows, struct_of, texts_of
 from tidemark.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -46,8 +54,13 @@ TREES, DEPTH = 20, 6
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
 KEEP = 0.5
-BLOCK = 300
+#: Neighbours that a class meets in a tree, and the shortest prefix that counts.
+REACH, LEAST_DEPTH = 2, 3
+#: Classes and shingles in a block, on average; a class with more shingles is a block's best part.
+BLOCK, BLOCK_SHINGLES = 500, 400_000
 COLUMNS = 4_096
+#: Sizes of sets on a logarithmic scale; linked sets are at most one step apart (a hair over 1.25).
+STEP = math.log(1.2501)
 
 _random = np.random.default_rng(20_240_607)
 _FLIP = _random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -92,22 +105,21 @@ def text_key(column: Column) -> Column:
 
 
 def sketches(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_key, set_key, sig)`` of each document with a word and an id."""
-    memo = word_memo()
-    schema = pa.schema([("id", pa.int64()), ("text_key", pa.binary()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    """``(id, text_key, set_key, size, sig)`` of each document with a word and an id."""
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.binary()), ("set_key", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Memo(memo._make)
-        for batch in batches:
+        memo = word_memo()
+        for batch in bounded(batches, "text"):
             out: list[tuple] = []
             for doc, key, text in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch, "text"), strict=True):
-                hashes = shingles(text, own)
+                hashes = shingles(text, memo)
                 if len(hashes) and doc is not None:
-                    out.append((doc, key, xxhash.xxh3_128_digest(hashes.tobytes()), signature(hashes)))
+                    out.append((doc, key, xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), signature(hashes)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key binary, set_key binary, sig binary")
+    return documents.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key binary, set_key binary, size long, sig binary")
 
 
 def shortest_prefix(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -117,38 +129,100 @@ def shortest_prefix(similarity: float = SIMILARITY, recall: float = TARGET_RECAL
     return depth
 
 
+def _labels(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of label sequences as an array, read where Arrow keeps it."""
+    column = batch.column(name).cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(">u2").reshape(len(column), -1)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels that two sequences share from the start."""
+    return np.cumprod(a == b, axis=-1, dtype=np.int32).sum(-1)
+
+
+NEIGHBOURS = "u long, v long, depth int, tree int, path binary, turn long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a sorted stretch ``(tree, path, turn, cid)``, with the depth of their node.
+
+    ``ends``: the stretch's first and last ``REACH`` rows follow, as rows without a depth.
+    """
+    before: list[pa.RecordBatch] = []
+    opening: list[pa.RecordBatch] = []
+    seen = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if seen < REACH:
+            opening.append(batch.slice(0, REACH - seen))
+        seen += batch.num_rows
+        whole = pa.Table.from_batches([*before, batch]).combine_chunks().to_batches()[0]
+        held = sum(x.num_rows for x in before)
+        trees, labels, ids = whole.column("tree").to_numpy(), _labels(whole, "path"), whole.column("cid").to_numpy()
+        for reach in range(1, REACH + 1):
+            first = max(held, reach)  # earlier pairs went out with the batch before
+            here, there = np.arange(first, len(ids)), np.arange(first, len(ids)) - reach
+            depth = np.where(trees[here] == trees[there], _shared(labels[here], labels[there]), 0)
+            kept = depth >= LEAST_DEPTH
+            if kept.any():
+                nothing = [pa.nulls(int(kept.sum()), k) for k in (pa.int32(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[here][kept]), pa.array(ids[there][kept]), pa.array(depth[kept], pa.int32()), *nothing], names=["u", "v", "depth", "tree", "path", "turn"])
+        before = [whole.slice(max(0, whole.num_rows - REACH))]
+    if ends:
+        for x in [*opening, *before]:
+            yield pa.RecordBatch.from_arrays([x.column("cid"), x.column("cid"), pa.nulls(x.num_rows, pa.int32()), x.column("tree"), x.column("path"), x.column("turn")], names=["u", "v", "depth", "tree", "path", "turn"])
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """``(u, v, depth)`` of classes near each other in a tree's sorted trie; ``classes(cid, sig)``."""
+    order = ["tree", "path", "turn"]
+    labels = [F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH) for t in range(TREES)]
+    paths = classes.select("cid", F.posexplode(F.array(*labels)).alias("tree", "path")).withColumn("turn", F.xxhash64("cid", "tree"))
+    stretches = paths.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "path", "turn", "cid")
+    found = durable(stretches.mapInArrow(lambda batches: _neighbours(batches, True), NEIGHBOURS))
+    # where one stretch ends and the next begins: at most 2 * REACH rows of each, whatever the input
+    seams = found.where("depth is null").select("tree", "path", "turn", F.col("u").alias("cid")).distinct().coalesce(1).sortWithinPartitions(*order)
+    across = seams.mapInArrow(lambda batches: _neighbours(batches, False), NEIGHBOURS)
+    return found.where("depth is not null").unionByName(across).select("u", "v", "depth")
+
+
 def _agreement(pairs: DataFrame) -> DataFrame:
-    """``pairs(u, v, a, b)`` with the share of equal labels."""
+    """``pairs(u, v, depth, a, b)`` with the share of equal labels, and the trees that share each prefix's length."""
+    names = [f"m{d}" for d in range(LEAST_DEPTH, DEPTH + 1)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, -1) for c in ("a", "b"))
-        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((a == b).mean(1))], names=["u", "v", "s"])
+        a, b = _labels(batch, "a"), _labels(batch, "b")
+        together = _shared(a.reshape(len(a), TREES, DEPTH), b.reshape(len(b), TREES, DEPTH))
+        hits = [pa.array((together >= d).sum(1), pa.int32()) for d in range(LEAST_DEPTH, DEPTH + 1)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "v", "depth")), pa.array((a == b).mean(1)), *hits], names=["u", "v", "depth", "s", *names])
 
-    return map_rows(pairs, one, struct_of("u long, v long, s double"))
+    return map_rows(pairs, one, struct_of("u long, v long, depth int, s double, " + ", ".join(f"{n} int" for n in names)))
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of class and pivot under one trie node, verified on signatures.
+    """Pairs ``(u, v)`` that share a prefix of the length that their recall asks for, agreeing in half their labels.
 
-    ``classes(cid, sig)``.  The depth is shortened further while the links found
-    at it put the estimated recall under the target.
+    ``classes(cid, sig)``.
     """
-    depth = shortest_prefix()
-    while True:
-        label = [F.substring("sig", 1 + 2 * DEPTH * t, 2 * depth) for t in range(TREES)]
-        nodes = classes.select("cid", F.posexplode(F.array(*label)).alias("tree", "prefix"))
-        pivots = nodes.groupBy("tree", "prefix").agg(F.min(F.struct(F.xxhash64("cid", "tree").alias("h"), F.col("cid").alias("c"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("tree", "prefix", F.col("p.c").alias("pivot"))
-        # a table of its own, so that the join reads plain shuffles and a hot node can be split over tasks
-        pivots = durable(pivots)
-        pairs = nodes.join(pivots, ["tree", "prefix"]).where("cid != pivot").select(F.col("cid").alias("u"), F.col("pivot").alias("v")).distinct()
-        sig = classes.select("cid", "sig")
-        pairs = pairs.join(sig.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
-        found = durable(_agreement(pairs.select("u", "v", "a", "b")).where(F.col("s") >= KEEP))
-        hit = 1 - F.pow(1 - F.pow(F.least("s", F.lit(1.0)), F.lit(depth)), F.lit(TREES))
-        linked = found.where(F.col("s") >= SIMILARITY).agg(F.count("*").alias("n"), F.sum(1 / hit).alias("all")).first()
-        if depth == 1 or not linked["n"] or linked["n"] / linked["all"] >= TARGET_RECALL:
-            return found.select("u", "v")
-        depth -= 1
+    deepest = shortest_prefix()
+    pairs = neighbours(classes).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("depth").alias("depth")).where("u < v")
+    sig = classes.select("cid", "sig")
+    pairs = pairs.join(sig.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
+    found = durable(_agreement(pairs.select("u", "v", "depth", "a", "b")).where(F.col("s") >= KEEP))
+    linked = found.where((F.col("s") >= SIMILARITY) & (F.col("depth") >= deepest))
+    hits = [f"m{d}" for d in range(LEAST_DEPTH, deepest + 1)]
+    both = linked.select(F.explode(F.array("u", "v")).alias("cid"), *hits).groupBy("cid").agg(*(F.avg(m).alias(m) for m in hits))
+    # the chance that no tree hits a link that is hit as often as this class's own
+    missed = {d: F.pow(1 - F.col(f"m{d}") / TREES, F.lit(TREES)) for d in range(LEAST_DEPTH, deepest + 1)}
+    own = F.lit(LEAST_DEPTH)
+    for d in range(LEAST_DEPTH + 1, deepest + 1):
+        own = F.when(missed[d] <= 1 - TARGET_RECALL, F.lit(d)).otherwise(own)
+    shorter = both.select("cid", own.alias("own")).where(F.col("own") < deepest)
+    # found(u, v) is small beside the classes; a class that shortens pulls in the pairs of its shorter nodes
+    more = found.where(F.col("depth") < deepest).select("u", "v", "depth", F.explode(F.array("u", "v")).alias("cid")).join(shorter, "cid").where("depth >= own")
+    return found.where(F.col("depth") >= deepest).select("u", "v").unionByName(more.select("u", "v")).distinct()
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -195,61 +269,139 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.nd
     return linked
 
 
-def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact links inside candidate groups.
+LINKS = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+#: What the first pass returns: links of whole groups, and the sets of groups that are cut.
+MET = pa.schema([*LINKS, ("grp", pa.int64()), ("n_texts", pa.int64()), ("size", pa.int64()), ("gone", pa.binary()), ("extra", pa.binary())])
+Member = tuple[int, int, np.ndarray]  # class, its texts, its shingles
 
-    ``members(grp, cid, n_texts, text_key)`` and ``texts(cid, text_key, text)``, whose
-    rows may repeat; returns ``(cid, links, root)`` rows, where ``links`` counts
-    different texts and ``root`` joins the class to a component.  Groups are cut into
-    blocks before any text is moved.
-    """
-    sizes = durable(members.groupBy("grp").agg(F.count("*").alias("n")).select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, ["cid", "text_key"]).dropDuplicates(["cid", "text_key"])
-    # block b meets every block j: the task (min, max) holds both
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grp", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "cid", "n_texts", "text")
-    dealt = dealt.repartition(F.col("grp"), F.col("lo"), F.col("hi")).sortWithinPartitions("grp", "lo", "hi")
-
-    def compare(lo: int, hi: int, rows: list[tuple]) -> list[tuple[int, int, int]]:
-        left = [r for r in rows if r[0] == lo]
-        right = [r for r in rows if r[0] == hi] if hi != lo else None
-        if right is not None and not (left and right):
-            return []
-        linked = exact_links([r[3] for r in left], None if right is None else [r[3] for r in right])
-        a, b = np.array([r[1] for r in left]), np.array([r[1] for r in (right or left)])
-        weight_a, weight_b = np.array([r[2] for r in left], np.int64), np.array([r[2] for r in (right or left)], np.int64)
-        links = dict(zip(a.tolist(), (linked @ weight_b).tolist(), strict=True))
-        if right is not None:
-            links |= dict(zip(b.tolist(), (linked.T @ weight_a).tolist(), strict=True))
-        root = dict(_forest(linked, a, b))
-        return [(c, n, root.get(c, c)) for c, n in links.items() if n]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, key, rows = word_memo(), None, []
-        schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def compare(left: list[Member], right: list[Member] | None = None) -> list[tuple[int, int, int]]:
+    """(class, linked texts, root) of classes with a link; ``right`` None: all against all of ``left``."""
+    if not left or right is not None and not right:
+        return []
+    linked = exact_links([r[2] for r in left], None if right is None else [r[2] for r in right])
+    other = right or left
+    a, b = np.array([r[0] for r in left]), np.array([r[0] for r in other])
+    links = dict(zip(a.tolist(), (linked @ np.array([r[1] for r in other], np.int64)).tolist(), strict=True))
+    if right is not None:
+        links |= dict(zip(b.tolist(), (linked.T @ np.array([r[1] for r in left], np.int64)).tolist(), strict=True))
+    root = dict(_forest(linked, a, b))
+    return [(c, n, root.get(c, c)) for c, n in links.items() if n]
 
-        def emit(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
-        out: list[tuple] = []
-        for batch in batches:
-            for g, lo, hi, b, c, n, t in zip(*(batch.column(x).to_pylist() for x in ("grp", "lo", "hi", "b", "cid", "n_texts", "text")), strict=True):
-                if (g, lo, hi) != key:
-                    if rows:
-                        out += compare(key[1], key[2], rows)
-                    key, rows = (g, lo, hi), []
-                    if len(out) > 20_000:
-                        yield emit(out)
+def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch], keys: list[str], others: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) of each run of rows with one key; the rows are read once, as they come."""
+    rows = (r for batch in bounded(batches, others[-1]) for r in zip(*(batch.column(c).to_pylist() for c in (*keys, *others)), strict=True))
+    for key, run in groupby(rows, lambda r: r[: len(keys)]):
+        yield key, (r[len(keys) :] for r in run)
+
+
+def _meet(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """First pass: texts meet their group, or a chunk of it, and are never moved again."""
+    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    chunks = durable(total.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks")))
+    dealt = members.join(chunks, "grp").join(texts, ["cid", "text_key"]).dropDuplicates(["cid", "text_key"])
+    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    # the group's least class goes to every chunk, ahead of the others, and gives the base set
+    is_base = (F.col("cid") == F.col("grp")) & (F.col("chunks") > 1)
+    where = F.explode(F.when(is_base, F.concat(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(0).alias("turn"))), F.array(F.struct(own.alias("chunk"), F.lit(1).alias("turn"))))).otherwise(F.array(F.struct(own.alias("chunk"), F.lit(1).alias("turn")))))
+    dealt = dealt.withColumn("at", where).select("grp", "at.chunk", "at.turn", "chunks", "cid", "n_texts", "text")
+    dealt = dealt.repartition(F.col("grp"), F.col("chunk")).sortWithinPartitions("grp", "chunk", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, out = word_memo(), []
+        for (grp, chunk, chunks), rows in _in_runs(batches, ["grp", "chunk", "chunks"], ["turn", "cid", "n_texts", "text"]):
+            if chunks == 1:
+                out += [(*x, *[None] * 5) for x in compare([(c, n, shingles(t, memo)) for _, c, n, t in rows])]
+            else:
+                base = None
+                for turn, c, n, t in rows:
+                    own = shingles(t, memo)
+                    if not turn:
+                        base = own
+                        if not chunk:  # the base itself, once, for those that decode
+                            out.append((None, None, None, grp, 0, len(own), b"", own.tobytes()))
+                        continue
+                    gone, extra = np.setdiff1d(base, own, assume_unique=True), np.setdiff1d(own, base, assume_unique=True)
+                    out.append((c, None, None, grp, n, len(own), gone.tobytes(), extra.tobytes()))
+                    if len(out) > 2_000:
+                        yield _emit(out, MET)
                         out = []
-                rows.append((b, c, n, shingles(t, memo)))
-        if rows:
-            out += compare(key[1], key[2], rows)
+            if len(out) > 2_000:
+                yield _emit(out, MET)
+                out = []
+        if out:
+            yield _emit(out, MET)
+
+    return dealt.mapInArrow(run, "cid long, links long, root long, grp long, n_texts long, size long, gone binary, extra binary")
+
+
+def _blocks(met: DataFrame) -> DataFrame:
+    """Second pass, over the sets of groups that were cut: pairs of blocks whose sizes allow a link."""
+    step = F.floor(F.log(F.col("size").cast("double")) / STEP).cast("int")
+    sets = met.where("grp is not null and cid is not null").select("grp", step.alias("k"), "cid", "n_texts", "size", "gone", "extra")
+    counts = sets.groupBy("grp", "k").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    counts = durable(counts)
+    at = lambda shift, name: counts.select("grp", (F.col("k") + shift).alias("k"), F.col("n").alias(name))
+    known = counts.join(at(1, "below"), ["grp", "k"], "left").join(at(-1, "above"), ["grp", "k"], "left")
+    # block (k, i) meets the blocks of its own step and of the next one; the task of a pair holds both
+    none = F.array().cast("array<int>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
+    task = lambda k1, i1, k2, i2: F.struct(k1.alias("k1"), i1.alias("i1"), k2.alias("k2"), i2.alias("i2"))
+    k, i = F.col("k"), F.pmod(F.xxhash64("cid"), F.col("n")).cast("int")
+    tasks = F.concat(
+        F.transform(upto(F.col("n")), lambda j: task(k, F.least(i, j), k, F.greatest(i, j))),
+        F.transform(upto(F.col("above")), lambda j: task(k, i, k + 1, j)),
+        F.transform(upto(F.col("below")), lambda j: task(k - 1, j, k, i)),
+    )
+    dealt = sets.join(known, ["grp", "k"]).select("grp", F.explode(tasks).alias("t"), F.lit(1).alias("turn"), k.alias("k"), i.alias("i"), "cid", "n_texts", "gone", "extra")
+    # each task of a group gets its base
+    pairs = known.select("grp", F.explode(F.concat(F.flatten(F.transform(upto(F.col("n")), lambda x: F.transform(F.sequence(x, F.col("n") - 1), lambda j: task(k, x, k, j)))), F.flatten(F.transform(upto(F.col("n")), lambda x: F.transform(upto(F.col("above")), lambda j: task(k, x, k + 1, j)))))).alias("t"))
+    base = met.where("grp is not null and cid is null").select("grp", "extra")
+    bases = pairs.join(base, "grp").select("grp", "t", F.lit(0).alias("turn"), F.lit(0).alias("k"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("cid"), F.lit(0).cast("long").alias("n_texts"), F.lit(None).cast("binary").alias("gone"), "extra")
+    dealt = dealt.unionByName(bases).select("grp", "t.*", "turn", "k", "i", "cid", "n_texts", "gone", "extra")
+    key = ["grp", "k1", "i1", "k2", "i2"]
+    dealt = dealt.repartition(*map(F.col, key)).sortWithinPartitions(*key, "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (_, k1, i1, k2, i2), rows in _in_runs(batches, key, ["turn", "k", "i", "cid", "n_texts", "gone", "extra"]):
+            left, right, base = [], [], None
+            for turn, k, i, c, n, gone, extra in rows:
+                extra = np.frombuffer(extra, np.uint64)
+                if not turn:
+                    base = extra
+                    continue
+                own = np.concatenate([np.setdiff1d(base, np.frombuffer(gone, np.uint64), assume_unique=True), extra])
+                (left if (k, i) == (k1, i1) else right).append((c, n, own))
+            out += compare(left, None if (k1, i1) == (k2, i2) else right)
+            if len(out) > 20_000:
+                yield _emit(out, LINKS)
+                out = []
         if out:
-            yield emit(out)
+            yield _emit(out, LINKS)
 
     return dealt.mapInArrow(run, "cid long, links long, root long")
 
 
+def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact links inside candidate groups.
+
+    ``members(grp, cid, n_texts, size, text_key)`` and ``texts(cid, text_key, text)``,
+    whose rows may repeat; returns ``(cid, links, root)`` rows, where ``links`` counts
+    different texts and ``root`` joins the class to a component.
+    """
+    met = durable(_meet(members, texts))
+    whole = met.where("grp is null").select("cid", "links", "root")
+    if met.where("grp is not null").isEmpty():
+        return whole
+    return whole.unionByName(_blocks(met))
+
+
 def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, class_id, n_links, n_copies)`` for each distinct id.
 
@@ -258,14 +410,14 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     """
     slim = durable(sketches(documents, id_col=id_col, text_col=text_col))
     # rows that repeat an id are one document
-    once = slim.groupBy("id").agg(F.min(F.struct("text_key", "set_key", "sig")).alias("x")).select("id", "x.*")
-    one_text = once.groupBy("set_key", "text_key").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "sig"))
+    once = slim.groupBy("id").agg(F.min(F.struct("text_key", "set_key", "size", "sig")).alias("x")).select("id", "x.*")
+    one_text = once.groupBy("set_key", "text_key").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("size").alias("size"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "size", "sig"))
     groups = components(candidate_pairs(classes))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "text_key"), "cid")
+    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "size", "text_key"), "cid")
     texts = documents.select(F.col(id_col).cast("long").alias("cid"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
-    found = durable(verified(members.select("grp", "cid", "n_texts", "text_key"), texts))
+    found = durable(verified(members, texts))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     whole = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
