@@ -1,19 +1,29 @@
 """Toxic passages by maximum-scoring segment search.
 
-Each word carries a log-odds score with a Dirichlet prior, learned from labelled
-documents; a word without a significant score of its own falls back on the longest
-prefix (3 to 6 characters) that has one, so inflected forms of a stem are seen.
-Every other word has the small negative log-odds of all insignificant words
-together, so segments have a negative drift.  A linear-time scan finds all maximal
-scoring segments (Ruzzo and Tompa, 1999); extreme-value statistics (Karlin and
-Altschul, 1990 and 1993) turn the segments of a text into one evidence value, and
-a logistic fit on a part of the labelled rows that gave no counts turns that into
-a probability.
+The score of a word is its log-odds between toxic passages and clean text, with a
+Dirichlet prior, learned from labelled documents.  Words of toxic documents that no
+clean one shares are the lexicon; a word outside it falls back on the longest prefix
+(3 to 6 characters) that is in it, so inflected forms of a stem are seen.  Every other
+word has the log-odds of "no word of the lexicon", which is negative: in a passage a
+share of the words is toxic, the density, and in clean text next to none is.  The
+density is that of the passages themselves: hits belong to one passage while the
+words between them cost less than a hit gains, and the density of those passages sets
+that cost.
+
+A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa, 1999).  Their
+significance follows the extreme-value law of Karlin and Altschul (1990): lambda solves
+sum p(s) exp(lambda s) = 1 over the scores of clean text, and K exp(-lambda x) bounds
+the rate of segments of at least x.  A clean text of n words has Poisson(K n
+exp(-lambda x)) of them, so the chance of r or more is a Poisson tail; a text's
+evidence is -ln of the least of these chances over its r highest segments, each r paid
+for with r (r + 1), which makes it a valid bound whatever r is best.  A logistic fit on
+a part of the labelled rows that gave no counts turns the evidence into a probability.
 
 Defined cases: a null or empty text has no words and gets the score of a text
 without evidence; a null id is never learned from and counts as held out; repeated
-rows are scored alike; without labelled rows of both kinds every score is the share
-of toxic labels (0.0 without labels).
+rows are scored alike, and near copies are learned once; without labelled rows of both
+kinds every score is the share of toxic labels (0.0 without labels); other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import Memo, arrow_schema, crc_of_id, map_rows, struct_of, texts_of
+from tidemark.llm.common import Memo, arrow_schema, bounded, crc_of_id, struct_of, texts_of
+from tidemark.llm.ngram_join import shingles, word_memo
 
 WORD = re.compile(r"\w+")
 #: The classifier is fitted on at most so many labelled rows of each label, taken in the order of a hash of the id.
@@ -42,7 +52,12 @@ PRIOR = 0.2
 MIN_Z, MIN_SHARE = 3.0, 0.7
 MIN_TOXIC_DOCUMENTS = 3
 PREFIXES = (6, 5, 4, 3)
-PREFIX_PENALTY = 0.5
+#: What each entry of the lexicon adds to its counts among the words of clean text and of passages.
+UNSEEN = 0.5
+#: Words between two hits are counted up to so many.
+MAX_GAP = 1_000
+#: Minima that near copies have in common.
+COPY_MINIMA = 4
 #: A prefix counts as a stem if words go on from it in so many toxic ways; with fewer, the longer forms speak for themselves.
 MIN_BRANCHES = 3
 FOLDS = 5
@@ -58,6 +73,15 @@ class ToxicModel:
     slope: float = 0.0
     bias: float = 0.0
 
+    def entry(self, word: str) -> str | None:
+        """The lexicon's entry for a word; a stem's ends with a star."""
+        if word in self.words:
+            return word
+        for n in PREFIXES:
+            if len(word) > n and word[:n] in self.stems:
+                return word[:n] + "*"
+        return None
+
     def memo(self) -> Memo:
         words, stems, base = self.words, self.stems, self.base
 
@@ -105,20 +129,77 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r in found]
 
 
-def sum_evidence(scores: list[float], n: int, lam: float, k: float) -> float:
-    """-ln P of the best set of the highest segments among ``n`` words (0: none)."""
-    best = total = 0.0
-    shift = math.log(max(k * n, 1.0))
+def log_tail(mean: float, r: int) -> float:
+    """ln of the chance that a Poisson variable is at least ``r``."""
+    if mean <= 0:
+        return -math.inf
+    if mean >= r:  # no evidence there; the chance is over a third
+        return 0.0
+    total = term = 1.0
+    j = 1
+    while term > 1e-12 * total:
+        term *= mean / (r + j)
+        total += term
+        j += 1
+    return min(0.0, r * math.log(mean) - mean - math.lgamma(r + 1) + math.log(total))
+
+
+def evidence_in(scores: list[float], n: int, lam: float, k: float) -> float:
+    """-ln of the chance of segments as high as the highest ones among ``n`` clean words (0: none)."""
+    best = 0.0
     for r, s in enumerate(sorted(scores, reverse=True), 1):
-        total += lam * s - shift
-        if total <= 0:
-            break
-        best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
+        best = max(best, -log_tail(k * n * math.exp(-lam * s), r) - math.log(r * (r + 1)))
         if r >= 64:  # the evidence is far beyond any threshold by then
             break
     return best
 
 
+def law_of(scores: list[tuple[float, float]]) -> tuple[float, float]:
+    """(lambda, K) of clean text, given as (score, share of the words).
+
+    Lambda is the positive root of sum p exp(lambda s) = 1.  From a positive score s a
+    walk reaches x with a chance of exp(-lambda (x - s)) at most, since exp(lambda S)
+    is a martingale; so segments of at least x start at a rate of K exp(-lambda x) at
+    most, with K the sum of p exp(lambda s) over the positive scores.
+    """
+    value = lambda lam: sum(p * math.exp(min(lam * s, 600.0)) for s, p in scores) - 1
+    if not any(s > 0 and p > 0 for s, p in scores) or sum(s * p for s, p in scores) >= 0:
+        return 1.0, 1.0
+    low, high = 0.0, 1.0
+    while value(high) < 0:
+        low, high = high, 2 * high
+    if not low:  # the sum dips under one right after zero
+        low = high
+        while value(low) >= 0 and low > 1e-9:
+            high, low = low, low / 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) < 0 else (low, middle)
+    return high, min(1.0, sum(p * math.exp(high * s) for s, p in scores if s > 0))
+
+
+def density_of(gaps: np.ndarray, gain: float, clean: float) -> float:
+    """The share of hits among the words of toxic passages.
+
+    ``gaps[g]``: how many neighbouring hits have g other words between them; ``gain``:
+    a hit's log-odds but for the density; ``clean``: the share of hits in clean text.
+    Gaps belong to a passage while they cost less than a hit gains at the density of
+    the passages so far, from half of the words on downwards.
+    """
+    density = 0.5
+    for _ in range(50):
+        cost = math.log1p(-clean) - math.log1p(-density)
+        widest = int(min((gain + math.log(density)) / max(cost, 1e-9), len(gaps) - 1)) if gain + math.log(density) > 0 else 0
+        inside = gaps[: widest + 1]
+        hits, others = float(inside.sum()), float((inside * np.arange(len(inside))).sum())
+        # a passage ends where the next hit is too far: that is one gap of a word at least
+        new = min(0.5, (hits + 1) / (hits + others + 2))
+        if new >= density - 1e-6:
+            break
+        density = new
+    return density
+
+
 def evidence_of(text: str, memo: Memo, model: ToxicModel) -> tuple[float, list[tuple[int, int, float]]]:
     """Evidence and segments, in words, of a whole text."""
     words = WORD.findall(text.lower())
@@ -126,7 +207,7 @@ def evidence_of(text: str, memo: Memo, model: ToxicModel) -> tuple[float, list[t
     if not scores or max(scores) <= 0:
         return 0.0, []
     segments = maximal_segments(scores)
-    return sum_evidence([s for _, _, s in segments], len(scores), model.lam, model.k), segments
+    return evidence_in([s for _, _, s in segments], len(scores), model.lam, model.k), segments
 
 
 def features_of(text: str) -> set[str]:
@@ -134,12 +215,25 @@ def features_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in (PREFIXES[0] + 1, *PREFIXES) if len(w) > n}
 
 
-def _with_least_shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
-    least = []
-    for text in texts_of(batch, "_text"):
-        words = WORD.findall(text.lower())
-        least.append(min((xxh3_64_intdigest(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))), default=0) >> 1)
-    return pa.RecordBatch.from_arrays([batch.column("_text"), batch.column("_y"), batch.column("_fold").cast(pa.int32()), pa.array(least, pa.int64())], names=["_text", "_y", "_fold", "_h"])
+_COPY_TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _with_copy_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a key of several minima, which unlike texts don't share."""
+    memo = word_memo()
+    for batch in bounded(batches, "_text"):
+        keys = []
+        for text in texts_of(batch, "_text"):
+            h = shingles(text, memo)
+            keys.append(((h[:, None] * _COPY_TIMES) >> np.uint64(1)).min(0).tobytes() if len(h) else b"")
+        yield pa.RecordBatch.from_arrays([batch.column("_text").cast(pa.string()), batch.column("_y"), batch.column("_fold").cast(pa.int32()), pa.array(keys, pa.binary())], names=["_text", "_y", "_fold", "_h"])
+
+
+def _hits(text: str, entry: Memo) -> tuple[list[str], list[int], int]:
+    """(entries hit, numbers of words between neighbouring hits, words) of a text."""
+    words = list(map(entry.__getitem__, WORD.findall(text.lower())))
+    at = [i for i, e in enumerate(words) if e]
+    return [words[i] for i in at], [min(b - a - 1, MAX_GAP) for a, b in zip(at, at[1:], strict=False)], len(words)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit_rows: int = MAX_FIT_ROWS) -> ToxicModel:
@@ -149,9 +243,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows) for y in (0, 1)]
     # at most 2 * max_fit_rows ids of 24 bytes: small enough to broadcast at any input size
     rows = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").select("_text", "_y", "_fold")
-    # near copies of a text share their least shingle most of the time, and are learned once: always the same one, also when a lost part is computed again
+    # near copies are learned once: always the same one, also when a lost part is computed again
     counted = None
-    rows = map_rows(rows, _with_least_shingle, struct_of("_text string, _y int, _fold int, _h long")).groupBy("_h", "_y").agg(F.min(F.struct(F.xxhash64("_text", "_fold"), "_text", "_fold")).alias("x")).select("x._text", "_y", "x._fold").persist()
+    rows = rows.mapInArrow(_with_copy_key, "_text string, _y int, _fold int, _h binary").groupBy("_h", "_y").agg(F.min(F.struct(F.xxhash64("_text", "_fold"), "_text", "_fold")).alias("x")).select("x._text", "_y", "x._fold").persist()
     try:
         sizes = {(r["_y"], r["c"]): r["n"] for r in rows.groupBy("_y", (F.col("_fold") == FOLDS - 1).alias("c")).agg(F.count("*").alias("n")).collect()}
         toxic, clean = (sum(n for (y, _), n in sizes.items() if y == v) for v in (1, 0))
@@ -161,7 +255,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = {0: Counter(), 1: Counter()}
-            for batch in batches:
+            for batch in bounded(batches, "_text"):
                 for text, y in zip(texts_of(batch, "_text"), batch.column("_y").to_pylist(), strict=True):
                     seen[y].update(features_of(text))
             names = [*seen[1], *(w for w in seen[0] if w not in seen[1])]
@@ -169,51 +263,82 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 part = names[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"w": part, "t": [seen[1][w] for w in part], "c": [seen[0][w] for w in part]}, pa.schema([("w", pa.string()), ("t", pa.int64()), ("c", pa.int64())]))
 
-        counted = rows.where(F.col("_fold") < FOLDS - 1).mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).persist()
-        totals = counted.groupBy(F.col("w").endswith("*").alias("stem")).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
-        sums = {r["stem"]: (r["t"], r["c"]) for r in totals}
-        t_all, c_all = sums.get(False, (0, 0))
-        prior = PRIOR * (t_all + c_all)
-        t_sum, c_sum = t_all + prior, c_all + prior
-        a, b = (F.col(x) + PRIOR * (F.col("t") + F.col("c")) for x in ("t", "c"))
-        delta = F.log(a / (F.lit(t_sum) - a)) - F.log(b / (F.lit(c_sum) - b))
-        most = math.log((1 + PRIOR) / PRIOR) + math.log(c_sum / t_sum) if t_all and c_all else math.inf
-        odds = counted.select("w", "t", "c", delta.alias("d"), F.sqrt(1 / a + 1 / b).alias("sd")).where(F.col("d") >= MIN_SHARE * most)
-        branches = odds.where(F.col("w").endswith("*")).groupBy(F.expr("concat(substring(w, 1, length(w) - 2), '*')").alias("w")).agg(F.count("*").alias("branches"))
-        significant = odds.where((F.col("t") >= MIN_TOXIC_DOCUMENTS) & (F.col("d") >= MIN_Z * F.col("sd"))).join(branches, "w", "left")
-        # from a bounded sample
-        strong = significant.where(~F.col("w").endswith("*") | (F.col("branches") >= MIN_BRANCHES)).collect()
+        learned = rows.where(F.col("_fold") < FOLDS - 1)
+        counted = learned.mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).persist()
         model = ToxicModel()
-        model.words = {r["w"]: r["d"] for r in strong if not r["w"].endswith("*")}
-        model.stems = {r["w"][:-1]: r["d"] - PREFIX_PENALTY for r in strong if r["w"].endswith("*") and r["d"] > 2 * PREFIX_PENALTY}
-        hit_t, hit_c = (sum(r[x] for r in strong if not r["w"].endswith("*")) for x in ("t", "c"))
-        model.base = min(-0.01, math.log(max(t_sum - hit_t, 1) / t_sum) - math.log(max(c_sum - hit_c, 1) / c_sum))
+        _choose(model, counted)
+        _score(model, learned)
 
-        def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-            memo, out = model.memo(), {"y": [], "n": [], "s": []}
-            for text, y in zip(texts_of(batch, "_text"), batch.column("_y").to_pylist(), strict=True):
-                scores = list(map(memo.__getitem__, WORD.findall(text.lower())))
-                out["y"].append(y)
-                out["n"].append(len(scores))
-                out["s"].append([s for *_, s in maximal_segments(scores)] if scores and max(scores) > 0 else [])
-            return pa.RecordBatch.from_pydict(out, pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo = model.memo()
+            for batch in bounded(batches, "_text"):
+                x = [min(evidence_of(t, memo, model)[0], 50.0) for t in texts_of(batch, "_text")]
+                yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(x, pa.float64())], names=["y", "x"])
 
-        sample = map_rows(rows.where(F.col("_fold") == FOLDS - 1), measure, struct_of("y int, n long, s double[]")).collect()
+        sample = rows.where(F.col("_fold") == FOLDS - 1).mapInArrow(measure, "y int, x double").collect()
     finally:
         for table in (rows, counted):
             if table is not None:
                 table.unpersist()
-    # K of the extreme-value law: segments of clean text for each word, each weighted by e to its score; a
-    # score above that of one strong word is a label error or a real passage, not noise
-    noise = [s for r in sample if r["y"] == 0 for s in r["s"]]
-    words = sum(r["n"] for r in sample if r["y"] == 0)
-    top = max([*model.words.values(), *model.stems.values(), 0.0])
-    model.k = min(1.0, max(1e-6, (sum(math.exp(min(s, top)) for s in noise) + 1) / max(words, 1)))
-    x = np.array([min(sum_evidence(r["s"], max(r["n"], 1), model.lam, model.k), 50.0) for r in sample])
-    model.slope, model.bias = logistic(x, np.array([r["y"] for r in sample], float))
+    model.slope, model.bias = logistic(np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample], float))
     return model
 
 
+def _choose(model: ToxicModel, counted: DataFrame) -> None:
+    """The lexicon: words and stems ``(w, t, c)`` whose log-odds between labels are high and sure."""
+    totals = counted.groupBy(F.col("w").endswith("*").alias("stem")).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    t_all, c_all = {r["stem"]: (r["t"], r["c"]) for r in totals}.get(False, (0, 0))
+    prior = PRIOR * (t_all + c_all)
+    t_sum, c_sum = t_all + prior, c_all + prior
+    a, b = (F.col(x) + PRIOR * (F.col("t") + F.col("c")) for x in ("t", "c"))
+    delta = F.log(a / (F.lit(t_sum) - a)) - F.log(b / (F.lit(c_sum) - b))
+    most = math.log((1 + PRIOR) / PRIOR) + math.log(c_sum / t_sum) if t_all and c_all else math.inf
+    odds = counted.select("w", "t", "c", delta.alias("d"), F.sqrt(1 / a + 1 / b).alias("sd")).where(F.col("d") >= MIN_SHARE * most)
+    branches = odds.where(F.col("w").endswith("*")).groupBy(F.expr("concat(substring(w, 1, length(w) - 2), '*')").alias("w")).agg(F.count("*").alias("branches"))
+    significant = odds.where((F.col("t") >= MIN_TOXIC_DOCUMENTS) & (F.col("d") >= MIN_Z * F.col("sd")) & (F.col("d") > 0)).join(branches, "w", "left")
+    # from a bounded sample
+    strong = significant.where(~F.col("w").endswith("*") | (F.col("branches") >= MIN_BRANCHES)).select("w").collect()
+    model.words = {r["w"]: 0.0 for r in strong if not r["w"].endswith("*")}
+    model.stems = {r["w"][:-1]: 0.0 for r in strong if r["w"].endswith("*")}
+
+
+def _score(model: ToxicModel, learned: DataFrame) -> None:
+    """Scores of the lexicon, the drift, and the law of clean text, from counts of words."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, seen = Memo(model.entry), Counter()
+        for batch in bounded(batches, "_text"):
+            for text, y in zip(texts_of(batch, "_text"), batch.column("_y").to_pylist(), strict=True):
+                hits, gaps, n = _hits(text, entry)
+                seen[y, "n", ""] += n
+                seen.update((y, "hit", e) for e in hits)
+                seen.update((y, "gap", str(g)) for g in gaps)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*((*key, n) for key, n in seen.items()), strict=True), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["y", "what", "key", "n"])
+
+    # the lexicon, two totals and MAX_GAP gaps: bounded by the sample
+    found = {(r["y"], r["what"], r["key"]): r["n"] for r in learned.mapInArrow(tally, "y int, what string, key string, n long").groupBy("y", "what", "key").agg(F.sum("n").alias("n")).collect()}
+    entries = [*model.words, *(x + "*" for x in model.stems)]
+    if not entries:
+        return
+    toxic = {e: found.get((1, "hit", e), 0) + UNSEEN for e in entries}
+    clean = {e: found.get((0, "hit", e), 0) + UNSEEN for e in entries}
+    words, hits = found.get((0, "n", ""), 0) + UNSEEN * len(entries) + 1, sum(toxic.values())
+    share = sum(clean.values()) / words
+    gaps = np.zeros(MAX_GAP + 1)
+    for (y, what, key), n in found.items():
+        if y == 1 and what == "gap":
+            gaps[int(key)] += n
+    gain = sum(n * math.log(n / hits * words / clean[e]) for e, n in toxic.items()) / hits
+    density = density_of(gaps[:-1], gain, share)
+    odds = {e: math.log(density * toxic[e] / hits * words / clean[e]) for e in entries}
+    model.words = {e: odds[e] for e in model.words if odds[e] > 0}
+    model.stems = {e: odds[e + "*"] for e in model.stems if odds[e + "*"] > 0}
+    model.base = math.log1p(-density) - math.log1p(-share)
+    known = [(odds[e], clean[e] / words) for e in entries if odds[e] > 0]
+    model.lam, model.k = law_of([*known, (model.base, 1 - sum(p for _, p in known))])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and bias of a logistic fit by damped Newton steps."""
     design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
@@ -239,7 +364,7 @@ def score_documents(documents: DataFrame, model: ToxicModel, *, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             scores, evidences, counts, passages = [], [], [], []
             for text in texts_of(batch, "text"):
                 evidence, segments = evidence_of(text, memo, model)
@@ -258,7 +383,7 @@ def drop_toxic(documents: DataFrame, model: ToxicModel, *, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
-        for batch in batches:
+        for batch in bounded(batches, text_col):
             keep = [model.probability(evidence_of(t, memo, model)[0]) < 0.5 for t in texts_of(batch, text_col)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
