@@ -1,6 +1,8 @@
 """HTML extraction, archives and URL verdicts."""
 
 import hashlib
+import html
+import re
 import time
 
 import pytest
@@ -52,6 +54,98 @@ def test_articles_of_other_parts_stay_out(wrapper):
     assert H.main_text(f"<article><p>in</p></article><{wrapper}><article><p>some other and longer text</p></article></{wrapper.split()[0]}>") == "in"
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["<h2 id='discussion'>x</h2>", "<h2 id=related>x</h2>", "<section id='search'><p>x</p></section>", "<p class='tags'>x</p>", "<div class='related-work'>x</div>", "<p class=alert>x</p>", "<math><mi>x</mi></math>", "<div class=search>x <a>y</a></div>"],
+)
+def test_article_text_is_not_chrome_by_a_word(part):
+    [line] = H.main_text(f"<article><p>one</p>{part}<p>two</p></article>").split("\n")[1:-1]
+    assert line in ("x", "x y")
+
+
+@pytest.mark.parametrize("part", ["<p hidden>x</p>", "<p aria-hidden=true>x</p>", "<div class='ad-box'>x</div>", "<ul class='share-buttons'><li>x</ul>", "<div class=related>See <a href=1>the other thing</a></div>", "<p class=tags><a>a</a> <a>b</a></p>", "<section class='comments'><p>x</p></section>", "<form>x</form>", "<aside>x</aside>"])
+def test_chrome_inside_an_article(part):
+    assert H.main_text(f"<article><p>one</p>{part}<p>two</p></article>") == "one\ntwo"
+
+
+def test_links_belong_to_an_article():
+    assert H.main_text("<article><p>one</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p><a>two</a></p></article><p><a>out</a></p>") == "one\na\nb\nc\nd\ntwo"
+
+
+def test_the_distribution_decides_against_a_name():
+    """Teasers that name themselves articles beside the text that makes up the page."""
+    long = ["A long paragraph with many words in it. " * 4, "Another one with words of its own. " * 4, "And a third one that ends the text. " * 4]
+    teasers = "".join(f"<article><a href={i}>Teaser {i}</a></article>" for i in range(3))
+    assert H.main_text(f"<body><div>{''.join(f'<p>{x}</p>' for x in long * 3)}</div>{teasers}</body>").split("\n")[:3] == [x.strip() for x in long]
+
+
+def brute_article(page):
+    """An article's text by cutting the page at its tags, for pages whose article holds no chrome."""
+    inner = re.search(r"<article[^>]*>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:h[1-6]|p|br|ul|li|div|blockquote)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_against_brute_force(spark, folder):
+    from tidemark.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    found = QUERIES["op3_html_extraction"](spark, folder).collect()
+    assert {r["page_id"] for r in found} == pages.keys()
+    for r in found:
+        assert r["text"] == brute_article(pages[r["page_id"]]), r["page_id"]
+        assert r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<h2 id='discussion'>x</h2>", "<h2 id=related>x</h2>", "<section id='search'><p>x</p></section>", "<p class='tags'>x</p>", "<div class='related-work'>x</div>", "<p class=alert>x</p>", "<math><mi>x</mi></math>", "<div class=search>x <a>y</a></div>"],
+)
+def test_article_text_is_not_chrome_by_a_word(part):
+    [line] = H.main_text(f"<article><p>one</p>{part}<p>two</p></article>").split("\n")[1:-1]
+    assert line in ("x", "x y")
+
+
+@pytest.mark.parametrize("part", ["<p hidden>x</p>", "<p aria-hidden=true>x</p>", "<div class='ad-box'>x</div>", "<ul class='share-buttons'><li>x</ul>", "<div class=related>See <a href=1>the other thing</a></div>", "<p class=tags><a>a</a> <a>b</a></p>", "<section class='comments'><p>x</p></section>", "<form>x</form>", "<aside>x</aside>"])
+def test_chrome_inside_an_article(part):
+    assert H.main_text(f"<article><p>one</p>{part}<p>two</p></article>") == "one\ntwo"
+
+
+def test_links_belong_to_an_article():
+    assert H.main_text("<article><p>one</p><ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul><p><a>two</a></p></article><p><a>out</a></p>") == "one\na\nb\nc\nd\ntwo"
+
+
+def test_the_distribution_decides_against_a_name():
+    """Teasers that name themselves articles beside the text that makes up the page."""
+    long = ["A long paragraph with many words in it. " * 4, "Another one with words of its own. " * 4, "And a third one that ends the text. " * 4]
+    teasers = "".join(f"<article><a href={i}>Teaser {i}</a></article>" for i in range(3))
+    assert H.main_text(f"<body><div>{''.join(f'<p>{x}</p>' for x in long * 3)}</div>{teasers}</body>").split("\n")[:3] == [x.strip() for x in long]
+
+
+def brute_article(page):
+    """An article's text by cutting the page at its tags, for pages whose article holds no chrome."""
+    inner = re.search(r"<article[^>]*>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S)
+    blocks = re.split(r"</?(?:h[1-6]|p|br|ul|li|div|blockquote)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_against_brute_force(spark, folder):
+    from tidemark.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    found = QUERIES["op3_html_extraction"](spark, folder).collect()
+    assert {r["page_id"] for r in found} == pages.keys()
+    for r in found:
+        assert r["text"] == brute_article(pages[r["page_id"]]), r["page_id"]
+        assert r["n_chars"] == len(r["text"])
+
+
 def test_stretch():
     assert H.stretch([0, 0, 50, 60, 0, 40, 0, 0, 0, 0, 45]) == (0, 6)
     assert H.stretch([0, 1, 2]) == (0, 0)
