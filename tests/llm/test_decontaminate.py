@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 
 from tidemark.llm import decontaminate as D
+from tidemark.llm import mapped as M
 
 
 def corpus(seed, items, texts):
@@ -26,24 +28,49 @@ def test_against_brute_force(seed, window):
     benchmark, texts = corpus(seed, 12, 60)
     if seed % 2:
         benchmark = [x for x in benchmark if len(D.words_of(x[1])) >= 5]
-    patterns = D.Patterns(benchmark, window)
+    patterns = D.Patterns(D.build(benchmark, window))
     for text in texts:
-        n, spans, items = patterns.find(text)
+        n, spans, items = D.find_in(text, [patterns])
         want = D.brute_force(text, benchmark, window)
         assert (n, sum(b - a for a, b in spans), sorted(items)) == want[:3]
 
 
 def test_shifts_skip_positions():
     benchmark = [("1", " ".join(f"p{i}" for i in range(10)))]
-    search = D.Patterns(benchmark).searches[0]
-    assert search.farthest == 9 and min(search.shift.values()) == 0 and max(search.shift.values()) == 8
+    search = D.Patterns(D.build(benchmark)).searches[0]
+    assert set(search.shift) == set(range(10))
+    ids = list(range(1, 11))
+    assert search.ends([*ids, *[0] * 50, *ids[:9], 0, *ids]) == [10, 80]
+
+
+def test_many_patterns_of_one_block():
+    """Patterns that share their last words are told apart by their first ones; a full slice is quick to search."""
+    benchmark = [(str(i), f"a{i % 500} b{i} " + "the same ending of all these many items") for i in range(20_000)]
+    arrays = D.build(benchmark)
+    patterns = D.Patterns(arrays)
+    text = " ".join(t for _, t in benchmark[:1_000]) + " " + "the same ending of all these many items " * 500
+    began = time.monotonic()
+    _, _, items = D.find_in(text, [patterns])
+    assert items >= {str(i) for i in range(1_000)} and time.monotonic() - began < 20
+    assert sum(v.nbytes for v in arrays.values()) < 200 * sum(len(v) for k, v in arrays.items() if k.endswith(".keys") and k[0].isdigit())
+
+
+def test_tables_lie_in_a_mapped_file(spark, tmp_path):
+    benchmark, texts = corpus(2, 12, 30)
+    arrays = D.build(benchmark)
+    (tmp_path / "tables").write_bytes(M.packed(arrays))
+    found = M.opened(str(tmp_path / "tables"))
+    assert found.keys() == arrays.keys() and all((found[k] == v).all() and not found[k].flags.owndata for k, v in arrays.items())
+    for t in texts:
+        assert D.find_in(t, [D.Patterns(found)]) == D.find_in(t, [D.Patterns(arrays)])
+    assert M.share(spark, arrays) == M.share(spark, arrays)
 
 
 def test_words():
     assert D.words_of("Ab-c É_1\x7f2 ４") == ["ab".encode(), b"c", "É".encode(), b"1", b"2", "４".encode()]
 
 
-@pytest.mark.parametrize("most", [D.MAX_BROADCAST_PATTERNS, 60])
+@pytest.mark.parametrize("most", [D.MAX_PATTERNS, 60])
 def test_rows(spark, odd, nothing, most):
     """Slices of the benchmark give the same as the whole."""
     benchmark, texts = corpus(3, 12, 40)

@@ -3,17 +3,20 @@
 Words are the symbols: ASCII letters are lower-cased, and words are runs of digits,
 letters and non-ASCII characters.  A pattern is a window of ``WINDOW`` consecutive
 words of a benchmark text, or all words of a shorter one.  For the patterns of one
-length m, the shift table holds for each block of two words (one for m = 1) how far
-the search may jump; where it may not, the block's bucket lists the patterns that
-end with it, and direct comparison confirms an occurrence.
+length m, the shift table, indexed by a hash of a block of two words (one for m = 1),
+holds how far the search may jump; where it may not, the patterns whose last block and
+first block are those of the text are found by binary search in an array sorted by
+both, and direct comparison of all words confirms an occurrence.
 
-The benchmark is the only thing sent to every task.  Its size is checked: beyond
-``MAX_BROADCAST_PATTERNS`` windows the search runs over one bounded slice of the
-benchmark after another, in a pass of its own, and adds the slices' hits up.
+The benchmark is read as a stream and cut into slices of at most ``MAX_PATTERNS``
+windows.  A slice's tables are arrays in a file that executors fetch and workers map,
+so nothing is built in a task and no slice has to fit a worker's own memory.  Each text
+is searched for one slice after another, in one pass and without a shuffle.
 
 Defined cases: null and empty texts have no words; benchmark texts without words
 and null ones have no window; an item id of null is left out; a window that several
-items share counts for each; documents that repeat are searched alike.
+items share counts for each; documents that repeat are searched alike; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,94 +24,151 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, durable, struct_of, texts_of
+from tidemark.llm.common import Memo, arrow_schema, bounded, struct_of, texts_of
+from tidemark.llm.mapped import DigestArray, mapped, share
 
 #: Over UTF-8 bytes: digits, lower-case letters, and every byte of a non-ASCII character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
-MAX_BROADCAST_PATTERNS = 2_000_000
+MAX_PATTERNS = 1_000_000
+#: The shift table's size is a power of two, at most this one.
+SHIFT_BITS = 24
+#: Places that are looked up at a time, and words that a worker remembers.
+AT_ONCE, WORDS = 20_000, 100_000
+_TIMES = 0x9E3779B1
+_LEAST_BITS = 10
 
 
 def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+def _ends_key(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One key of a pattern's last and first block."""
+    x = (last * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (first + np.uint64(0x165667B19E3779F9))
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _block(windows: np.ndarray, end: int, width: int) -> np.ndarray:
+    """The block of ``width`` words before ``end`` in each window, as one number."""
+    last = windows[:, end - 1].astype(np.uint64)
+    return last if width == 1 else windows[:, end - 2].astype(np.uint64) << np.uint64(32) | last
+
+
+def build(benchmark: Iterable[tuple[str, str]], window: int = WINDOW) -> dict[str, np.ndarray]:
+    """The tables of some items, as arrays.
+
+    ``words``: the items' words, whose value is their number (0 is any unknown word);
+    ``names``: the items; for each length m, ``windows`` sorted by their key, with the
+    number of the ``items`` they come from, and ``shift``.
+    """
+    numbers: dict[bytes, int] = {}
+    names: list[bytes] = []
+    found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+    for item, text in benchmark:
+        ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)], np.uint32)
+        if len(ids):
+            n = min(window, len(ids))
+            found[n].append((np.unique(np.lib.stride_tricks.sliding_window_view(ids, n), axis=0), len(names)))
+            names.append(item.encode("utf-8", "surrogatepass"))
+    out = {f"words.{k}": v for k, v in DigestArray.arrays(numbers.items()).items()}
+    out |= {"names.ends": np.cumsum([0, *map(len, names)], dtype=np.int64), "names.blob": np.frombuffer(b"".join(names), np.uint8), "lengths": np.array(sorted(found), np.int32)}
+    for m, parts in found.items():
+        windows = np.concatenate([w for w, _ in parts])
+        items = np.repeat(np.array([i for _, i in parts], np.int32), [len(w) for w, _ in parts])
+        width = min(2, m)
+        keys = _ends_key(_block(windows, m, width), _block(windows, width, width))
+        order = np.argsort(keys, kind="stable")
+        far = m - width + 1
+        bits = min(SHIFT_BITS, max(_LEAST_BITS, int(4 * far * len(windows)).bit_length()))
+        shift = np.full(1 << bits, far, np.uint8 if far < 256 else np.uint32)
+        for end in range(width, m + 1):
+            block = _block(windows, end, width)
+            np.minimum.at(shift, (((block >> np.uint64(32)) * np.uint64(_TIMES)) ^ (block & np.uint64(0xFFFFFFFF))) & np.uint64((1 << bits) - 1), shift.dtype.type(m - end))
+        out |= {f"{m}.keys": keys[order], f"{m}.windows": windows[order].reshape(-1), f"{m}.items": items[order], f"{m}.shift": shift}
+    return out
+
+
 class WuManber:
-    """The patterns of one length over sequences of word numbers; 0 is any unknown word."""
+    """The patterns of one length over sequences of word numbers."""
 
-    def __init__(self, patterns: dict[tuple[int, ...], list[str]], length: int):
+    def __init__(self, arrays: dict[str, np.ndarray], length: int):
         self.length = length
-        self.block = min(2, length)
-        self.farthest = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key, jump = self._key(pattern, end), length - end
-                self.shift[key] = min(self.shift.get(key, self.farthest), jump)
-            self.bucket[self._key(pattern, length)].append((list(pattern), items))
-        self.bucket = dict(self.bucket)
-
-    def _key(self, ids, end: int) -> int:
-        return ids[end - 1] if self.block == 1 else ids[end - 2] << 32 | ids[end - 1]
-
-    def search(self, ids: list[int]) -> Iterator[tuple[int, list[str]]]:
-        """(start, items) of each occurrence."""
-        m, n, far, shift, bucket = self.length, len(ids), self.farthest, self.shift.get, self.bucket
+        self.keys, self.items = arrays[f"{length}.keys"], arrays[f"{length}.items"]
+        self.windows = arrays[f"{length}.windows"].reshape(-1, length)
+        self.shift = memoryview(arrays[f"{length}.shift"])
+
+    def ends(self, ids: list[int]) -> list[int]:
+        """Where a pattern can end, by the shift table."""
+        m, n, shift, mask, out = self.length, len(ids), self.shift, len(self.shift) - 1, []
+        if m == 1:
+            return [i for i, x in enumerate(ids, 1) if x and not shift[x & mask]]
         end = m
-        if self.block == 1:
-            for i, x in enumerate(ids):
-                for _, items in bucket.get(x, ()):
-                    yield i, items
-            return
         while end <= n:
             last = ids[end - 1]
             if not last:  # an unknown word: no pattern covers it
                 end += m
                 continue
-            key = ids[end - 2] << 32 | last
-            jump = shift(key, far)
+            jump = shift[((ids[end - 2] * _TIMES) ^ last) & mask]
             if jump:
                 end += jump
                 continue
-            start = end - m
-            here = ids[start:end]
-            for pattern, items in bucket[key]:
-                if pattern == here:
-                    yield start, items
+            out.append(end)
             end += 1
+        return out
+
+    def search(self, ids: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, numbers of the items) of each occurrence."""
+        ends = np.array(self.ends(ids), np.int64)
+        m, width = self.length, min(2, self.length)
+        for at in range(0, len(ends), AT_ONCE):
+            starts = ends[at : at + AT_ONCE] - m
+            first = int(starts[0])
+            here = np.array(ids[first : int(starts[-1]) + m], np.uint32)[(starts - first)[:, None] + np.arange(m)]
+            keys = _ends_key(_block(here, m, width), _block(here, width, width))
+            low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                same = (self.windows[low[i] : high[i]] == here[i]).all(1)
+                if same.any():
+                    yield int(starts[i]), self.items[low[i] : high[i]][same]
 
 
 class Patterns:
-    """A benchmark's windows, by length, over the numbers of its words."""
+    """A slice's tables, ready to search texts."""
 
-    def __init__(self, benchmark: list[tuple[str, str]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in benchmark:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                by_length[n][tuple(ids[i : i + n])].add(item)
-        self.searches = [WuManber({p: sorted(x) for p, x in found.items()}, n) for n, found in sorted(by_length.items())]
-
-    def find(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """(words, spans of hit words, items with occurring windows) of a whole text."""
-        words = words_of(text)
-        ids = [self.numbers.get(w, 0) for w in words] if words else []
+    def __init__(self, arrays: dict[str, np.ndarray], remembered: int = WORDS):
+        words = DigestArray({k: arrays[f"words.{k}"] for k in ("keys", "ends", "blob", "values")})
+        self.numbers = Memo(lambda w: max(0, words.find([w])[0]), remembered)
+        self._ends, self._blob = arrays["names.ends"], arrays["names.blob"]
+        self.searches = [WuManber(arrays, m) for m in arrays["lengths"].tolist()]
+
+    def name(self, i: int) -> str:
+        return self._blob[self._ends[i] : self._ends[i + 1]].tobytes().decode("utf-8", "surrogatepass")
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(spans of hit words, items with occurring windows) of a whole text's words."""
+        ids = list(map(self.numbers.__getitem__, words))
         spans, items = [], set()
-        for search in self.searches:
+        for search in self.searches if any(ids) else ():
             for start, found in search.search(ids):
                 spans.append((start, start + search.length))
-                items.update(found)
-        return len(words), merge(spans), items
+                items.update(found.tolist())
+        return spans, set(map(self.name, items))
+
+
+def find_in(text: str, slices: list[Patterns]) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """(words, spans of hit words, items with occurring windows) of a whole text over all slices."""
+    words = words_of(text)
+    found = [x.find(words) for x in slices] if words else []
+    return len(words), merge(list(chain.from_iterable(x for x, _ in found))), set().union(*(x for _, x in found))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,62 +181,51 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def read_benchmark(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> list[tuple[str, str]]:
-    """Its items, fetched in one go; the caller bounds what it keeps of them at a time."""
+def read_benchmark(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[str, str]]:
+    """Its items, a partition at a time."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    return sorted((r["i"], r["t"]) for r in rows.toLocalIterator())
+    return ((r["i"], r["t"]) for r in rows.toLocalIterator())
 
 
-def slices(benchmark: list[tuple[str, str]], most: int = MAX_BROADCAST_PATTERNS) -> list[list[tuple[str, str]]]:
-    out, room = [[]], most
+def slices_of(benchmark: Iterable[tuple[str, str]], most: int = MAX_PATTERNS) -> Iterator[list[tuple[str, str]]]:
+    """Items in slices of at most ``most`` windows, an item at least; one slice is held at a time."""
+    part, room = [], most
     for item, text in benchmark:
         n = len(text) // 2 + 1  # no text has more windows
-        if n > room and out[-1]:
-            out.append([])
-            room = most
-        out[-1].append((item, text))
+        if n > room and part:
+            yield part
+            part, room = [], most
+        part.append((item, text))
         room -= n
-    return out
+    if part:
+        yield part
 
 
-FOUND = struct_of("doc_id long, n_words long, hit_from long[], hit_to long[], items string[]")
+def tables(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most: int = MAX_PATTERNS) -> list[str]:
+    """The benchmark's slices as shared files, by name."""
+    return [share(benchmark.sparkSession, build(part, window)) for part in slices_of(read_benchmark(benchmark, item_col=item_col, text_col=text_col), most)]
 
 
-def _over_slices(df: DataFrame, parts: list[list[tuple[str, str]]], run: Callable[[list[tuple[str, str]]], Callable], schema: T.StructType) -> DataFrame:
-    """One pass for each slice: a task holds one slice's tables, and builds them once."""
-    for k, part in enumerate(parts):
-        df = df.mapInArrow(run(part), schema)
-        if k + 1 < len(parts):
-            df = durable(df)
-    return df
+def opened_slices(names: list[str]) -> list[Patterns]:
+    return [Patterns(mapped(n), max(1_000, WORDS // len(names))) for n in names]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+FOUND = struct_of("doc_id long, n_words long, hit_from long[], hit_to long[], items string[]")
+
+
+def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_PATTERNS) -> DataFrame:
     """``(doc_id, n_words, hit_from, hit_to, items)``: hit words as spans, and the items found."""
-    parts = slices(read_benchmark(benchmark, item_col=item_col, text_col=item_text_col), most)
-    many = len(parts) > 1  # then the text goes with the row to the next slice
-    result = T.StructType([*FOUND.fields, T.StructField("text", T.StringType())]) if many else FOUND
-    schema = arrow_schema(result)
-
-    def over(part: list[tuple[str, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(part, window)
-            for batch in batches:
-                found = [patterns.find(t) for t in texts_of(batch, "text")]
-                spans, items = [x for _, x, _ in found], [x for *_, x in found]
-                if "items" in batch.schema.names:  # what earlier slices found
-                    before = zip(*(batch.column(c).to_pylist() for c in ("hit_from", "hit_to", "items")), strict=True)
-                    for i, (starts, ends, names) in enumerate(before):
-                        spans[i] = merge(spans[i] + list(zip(starts, ends, strict=True)))
-                        items[i] |= set(names)
-                columns = [batch.column("doc_id"), pa.array([n for n, *_ in found], pa.int64()), pa.array([[a for a, _ in x] for x in spans], schema.field("hit_from").type), pa.array([[b for _, b in x] for x in spans], schema.field("hit_to").type), pa.array([sorted(x) for x in items], schema.field("items").type)]
-                yield pa.RecordBatch.from_arrays(columns + [batch.column("text").cast(pa.string())] * many, schema=schema)
-
-        return run
-
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = _over_slices(rows, parts, over, result)
-    return found.drop("text") if many else found
+    names = tables(benchmark, item_col=item_col, text_col=item_text_col, window=window, most=most)
+    schema = arrow_schema(FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = opened_slices(names)
+        for batch in bounded(batches, "text"):
+            found = [find_in(t, slices) for t in texts_of(batch, "text")]
+            columns = [[n for n, *_ in found], [[a for a, _ in x] for _, x, _ in found], [[b for _, b in x] for _, x, _ in found], [sorted(x) for *_, x in found]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -185,19 +234,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"))
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_PATTERNS) -> DataFrame:
     """The rows, with all their columns, that hold no window of the benchmark; no shuffle."""
-    parts = slices(read_benchmark(benchmark, item_col=item_col, text_col=item_text_col), most)
-
-    def over(part: list[tuple[str, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(part, window)
-            for batch in batches:
-                yield batch.filter(pa.array([not patterns.find(t)[1] for t in texts_of(batch, text_col)], pa.bool_()))
+    names = tables(benchmark, item_col=item_col, text_col=item_text_col, window=window, most=most)
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = opened_slices(names)
+        for batch in bounded(batches, text_col):
+            yield batch.filter(pa.array([not find_in(t, slices)[1] for t in texts_of(batch, text_col)], pa.bool_()))
 
-    return _over_slices(documents, parts, over, documents.schema)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def brute_force(text: str, benchmark: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
