@@ -9,6 +9,7 @@ import pytest
 
 from tidemark.llm import arc as A
 from tidemark.llm import html_text as H
+from tidemark.llm import mapped as M
 from tidemark.llm import url_filter as U
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x = "</p>";</script></head><body class="page">
@@ -235,7 +236,7 @@ def test_digests_are_of_the_payload(odd_pages):
 # --- URLs
 
 
-def brute_verdict(url, rules=U.RULES, blocked=U.BLOCKED_HOSTS):
+def brute_verdict(url, rules=U.RULES, blocked=U.BLOCKED_HOSTS, labels=U.BLOCKED_LABELS):
     host, path = U.split_url(url)
     best = None
     for rule, verdict in rules:
@@ -244,7 +245,7 @@ def brute_verdict(url, rules=U.RULES, blocked=U.BLOCKED_HOSTS):
             best = (rule, verdict)
     if best:
         return best
-    return None, "block" if any(host == b or host.endswith("." + b) for b in blocked) else "allow"
+    return None, "block" if any(host == b or host.endswith("." + b) for b in blocked) or set(host.split(".")) & set(labels) else "allow"
 
 
 @pytest.mark.parametrize(
@@ -255,45 +256,43 @@ def test_split(url, cut):
     assert U.split_url(url) == cut
 
 
-def test_verdicts_against_brute_force(spark):
+@pytest.mark.parametrize("most", [U.MAX_ENTRIES, 3])
+def test_verdicts_against_brute_force(spark, monkeypatch, most):
+    """By the array and, for lists over the bound, by a join: the same rows."""
     import random
 
+    monkeypatch.setattr(U, "MAX_ENTRIES", most)
     draw = random.Random(4)
-    hosts = ["example.org", "www.example.org", "xexample.org", "a.com", "com", "org", "adult-x.example.com", "m.adult-x.example.com", ".org", "a..org", "b.net"]
+    hosts = ["example.org", "www.example.org", "xexample.org", "a.com", "com", "org", "adult-x.example.com", "m.adult-x.example.com", ".org", "a..org", "b.net", "Bad.Host.net", "x.bad.host.net"]
     paths = ["", "/", "/es/", "/es/1", "/en/1", "/en/12", "/en/2", "/fr/", "/de/x", "/FR/", "?/fr/", "#x"]
-    urls = [f"http://{draw.choice(hosts)}{draw.choice(paths)}" for _ in range(500)] + [None, "nothing"]
-    found = U.verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
-    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in found} == {i: brute_verdict(u) for i, u in enumerate(urls)}
-    entries, lengths = U.entries_of()
-    joined = U.join_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(entries, "string string, value string"), lengths)
-    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in joined.collect()} == {i: brute_verdict(u) for i, u in enumerate(urls)}
+    urls = [f"http://{draw.choice(hosts)}{draw.choice(paths)}" for _ in range(500)] + [None, "nothing", None]
+    rows = [(i if i % 50 else 7, u) for i, u in enumerate(urls)]  # repeated ids with other urls
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for blocked in (["Bad.host.net"], spark.createDataFrame([("bad.host.net",), (None,)], "name string")):
+        found = U.verdicts(pages, blocked=blocked).collect()
+        assert sorted((r["page_id"], str(r["url"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in found) == sorted((i, str(u), *U.split_url(u), *map(str, brute_verdict(u, blocked=["bad.host.net"]))) for i, u in rows)
 
 
 def test_collisions_are_told_apart(monkeypatch):
-    monkeypatch.setattr(U.xxhash, "xxh3_64_intdigest", lambda data: len(data) % 2)
-    array = U.DigestArray([("aa", "block"), ("bb", "allow"), ("c", "block")])
-    assert array.lookup(["aa", "bb", "cc", "c", "d"]) == ["block", "allow", None, "block", None]
-    assert U.DigestArray([]).lookup(["a"]) == [None]
+    monkeypatch.setattr(M.xxhash, "xxh3_64_intdigest", lambda data: len(data) % 2)
+    array = M.DigestArray(M.DigestArray.arrays([(b"aa", 1), (b"bb", 0), (b"c", 1)]))
+    assert array.find([b"aa", b"bb", b"cc", b"c", b"d"]) == [1, 0, -1, 1, -1]
+    assert M.DigestArray(M.DigestArray.arrays([])).find([b"a"]) == [-1]
 
 
-def test_too_long_a_list_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(U, "MAX_ENTRIES", 3)
-    with pytest.raises(ValueError, match="join_verdicts"):
-        U.verdicts(spark.createDataFrame([], "page_id long, url string"))
-
-
-def test_labels_block_under_every_ending(spark):
+@pytest.mark.parametrize("most", [U.MAX_ENTRIES, 3])
+def test_labels_block_under_every_ending(spark, monkeypatch, most):
+    monkeypatch.setattr(U, "MAX_ENTRIES", most)
     want = {"http://m.casino-win.example.com/x": "block", "http://Casino-Win.example.net": "block", "http://casino-win.b.net/": "block", "http://xcasino-win.example.com/": "allow", "http://casino-win.example.org/": "allow", "http://b.net/casino-win": "allow"}
     pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
     found = U.verdicts(pages, labels=["Casino-win"]).collect()
     assert {r["url"]: r["verdict"] for r in found} == want
     assert {r["url"]: r["rule"] for r in found if r["rule"]} == {"http://casino-win.example.org/": "org/"}
-    entries, lengths = U.entries_of(labels=["Casino-win"])
-    joined = U.join_verdicts(pages, spark.createDataFrame(entries, "string string, value string"), lengths).collect()
-    assert {(r["url"], r["rule"], r["verdict"]) for r in joined} == {(r["url"], r["rule"], r["verdict"]) for r in found}
 
 
-def test_odd_urls(odd_pages):
+@pytest.mark.parametrize("most", [U.MAX_ENTRIES, 3])
+def test_odd_urls(odd_pages, monkeypatch, most):
+    monkeypatch.setattr(U, "MAX_ENTRIES", most)
     found = U.verdicts(odd_pages).collect()
     assert len(found) == 11 and {r["verdict"] for r in found} <= {"allow", "block"}
     assert U.verdicts(odd_pages.limit(0)).count() == 0
