@@ -82,6 +82,20 @@ def test_odd_rows(odd, nothing, encoder):
     assert K.pack(nothing).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_repeated_rows_in_any_partitions(spark, encoder, partitions):
+    """Rows that are all alike, null ids among them, and hardly any row in a partition."""
+    texts = [(None, "no id and some words")] * 1_500 + [(1, "the same row again and again " * 9)] * 1_500 + [(i, "words " * (i % 700)) for i in range(2, 300)]
+    rows = K.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(partitions)).toPandas()
+    rows["doc_id"] = rows.doc_id.fillna(-1).astype(int)
+    assert rows.groupby("doc_id").length.sum().to_dict() == {d: len(encoder.whole([t])[0]) // 4 + 1 for d, t in texts[3_000:]} | {1: 1_500 * rows[rows.doc_id == 1].doc_tokens.iloc[0], -1: 1_500 * rows[rows.doc_id == -1].doc_tokens.iloc[0]}
+    for _, s in rows.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.r_[0, s.length.cumsum().to_numpy()[:-1]]).all() and s.length.sum() <= K.WINDOW
+    used = rows.groupby("sequence_id").length.sum()
+    assert 1 - used.sum() / (K.WINDOW * len(used)) < 0.02
+
+
 def test_ids_can_be_kept(odd):
     for r in K.pack(odd, with_ids=True).collect():
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]

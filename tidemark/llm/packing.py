@@ -1,13 +1,17 @@
 """Best-fit-decreasing packing of token sequences.
 
 A text's ids are followed by one separator.  A document is first cut into full
-windows; what is left of it is a piece shorter than a window.  Full windows are
-sequences of their own.  The rest is dealt by a hash of the id into groups of
-``GROUP`` documents on average, and each group is packed on its own: pieces from
-the longest to the shortest, each into the open window with the least room that
-still fits, found in a segment tree indexed by remaining capacity.  A group of that
-size wastes well under one percent, so groups never have to meet, and no task grows
-with the input.
+windows, which are sequences of their own; what is left of it is a piece shorter than
+a window.  Each task packs its own documents, ``GROUP`` pieces at a time: from the
+longest to the shortest, each into the open window with the least room that still
+fits, found in a segment tree indexed by remaining capacity.  So no text or id is
+moved, nothing hangs on how often a row or an id repeats, and a task holds the pieces
+of one group.
+
+What a group leaves in windows that are not full enough goes into a second round,
+dealt by the window it lay in over groups of the same size.  That round sees a few
+hundredths of the pieces, or all of them where the table lies in many tiny partitions,
+and its own last windows are all that is padded for good.
 
 Pre-tokens are encoded once and remembered: the text is split by the byte-level
 tokenizer's own pattern, and each distinct pre-token goes to the tokenizer alone,
@@ -15,7 +19,8 @@ in batches.  A text with a character outside the plain scripts, where Python's
 classes could differ from the tokenizer's, goes to the tokenizer whole.
 
 Defined cases: a null or empty text is the separator alone; a null id packs like
-any other; rows that repeat are packed once each; ties go by id, start, then text.
+any other; rows that repeat are packed once each; an empty table gives no rows; ties
+go by id, start, then checksum; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,22 +29,29 @@ import functools
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import struct_of, texts_of
+from tidemark.llm.common import arrow_schema, bounded, durable, struct_of, texts_of
 
 WINDOW = 1024
 SEPARATOR = 0
 GROUP = 2_000
+#: A window that is filled less goes into the second round.
+FULL_ENOUGH = 0.98
 TOKENIZER = "byte_bpe_50k.json"
-#: Group number of full windows, and room for so many sequences in a group.
-GROUP_SPAN = 1 << 34
-MEMO = 1_000_000
+#: Room for so many sequences in a task of the first round or a group of the second.
+SPAN = 1 << 34
+#: Sequences of the second round begin here.
+SECOND = 1 << 60
+MEMO = 150_000
 
 # The byte-level pre-tokenizer's pattern, for texts of the characters below.
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ʯ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9À-ÖØ-öø-ʯ]+|\s+(?!\S)|\s+")
@@ -158,66 +170,83 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
     return placed
 
 
-PIECE = struct_of("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, part long")
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+Piece = tuple  # doc_id, start, length, ids_crc32, doc_tokens, and the ids where they are wanted
 
 
-def pieces(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None, groups: int = 1, with_ids: bool = False) -> DataFrame:
-    """Full windows and rests of each document; ``with_ids`` keeps the ids themselves."""
-    schema = struct_of(", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in PIECE) + (", ids binary" if with_ids else ""))
-    kinds = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in schema])
+def _longest_first(piece: Piece) -> tuple:
+    return -piece[2], piece[0] is not None, piece[0] or 0, piece[1], piece[3], piece[4]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path or tokenizer_path())
-        stop = np.array([SEPARATOR], "<u4").tobytes()
-        for batch in batches:
-            docs, hashes, texts = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts_of(batch, "text")
-            out: list[tuple] = []
+
+def _placed(pieces: list[Piece], first: int, window: int) -> tuple[list[tuple[Piece, int, int]], int]:
+    """(piece, sequence, offset) of one group's pieces, sequences from ``first`` on; and the next one."""
+    ordered = sorted(pieces, key=_longest_first)
+    spots = best_fit_decreasing([p[2] for p in ordered], window)
+    return [(p, first + w, o) for p, (w, o) in zip(ordered, spots, strict=True)], first + 1 + max((w for w, _ in spots), default=-1)
+
+
+def _batch(rows: list[tuple[Piece, int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    flat = [(*p[:5], w, o, *p[5:]) for p, w, o in rows]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*flat, strict=True), schema, strict=True)], schema=schema)
+
+
+def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None, with_ids: bool = False, group: int = GROUP) -> DataFrame:
+    """A row for each piece with its sequence and offset; every id lies in exactly one piece.
+
+    ``with_ids`` keeps the ids themselves.
+    """
+    result = struct_of(PACKED + (", ids binary" if with_ids else ""))
+    schema = arrow_schema(result)
+    columns = [n for n in schema.names if n not in ("sequence_id", "offset")]
+    stop = np.array([SEPARATOR], "<u4").tobytes()
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces in full windows, and in windows that are full enough; the others' offset is -1."""
+        encoder, free = encoder_of(path or tokenizer_path()), TaskContext.get().partitionId() * SPAN
+        out: list[tuple[Piece, int, int]] = []
+        rests: list[Piece] = []
+
+        def close() -> None:
+            nonlocal free
+            placed, free = _placed(rests, free, window)
+            filled: Counter = Counter()
+            for p, w, _ in placed:
+                filled[w] += p[2]
+            out.extend((p, w, o if filled[w] >= FULL_ENOUGH * window else -1) for p, w, o in placed)
+            rests.clear()
+
+        for batch in bounded(batches, "text"):
+            docs, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
             for at in range(0, len(texts), 256):
-                for doc, h, ids in zip(docs[at : at + 256], hashes[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+                for doc, ids in zip(docs[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
                     ids += stop
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         part = ids[4 * start : 4 * (start + window)]
-                        row = (doc, start, len(part) // 4, zlib.crc32(part), n, h % groups, h)
-                        out.append((*row, part) if with_ids else row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
-
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # the row's own hash: rows that repeat meet in a group, a repeated id alone is spread
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
-    return rows.mapInArrow(run, schema)
-
-
-def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row for each piece with its sequence and offset; every id lies in exactly one piece."""
-    groups = max(1, -(-documents.count() // GROUP))
-    cut = pieces(documents, id_col=id_col, text_col=text_col, window=window, path=path, groups=groups, with_ids=with_ids)
-    names = [x.split()[0] for x in PACKED.split(", ")] + (["ids"] if with_ids else [])
-    kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
-    schema = PACKED + (", ids binary" if with_ids else "")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def emit() -> pa.RecordBatch:
-            first = group * GROUP_SPAN
-            full = sum(r[2] == window for r in rows)
-            placed = [(i, 0) for i in range(full)] + [(full + w, o) for w, o in best_fit_decreasing([r[2] for r in rows[full:]], window)]
-            out = [(*r[:5], first + w, o, *r[5:]) for r, (w, o) in zip(rows, placed, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []))]
-            for g, *row in zip(*columns, strict=True):
-                if g != group:
-                    if rows:
-                        yield emit()
-                    group, rows = g, []
-                rows.append(tuple(row))
-        if rows:
-            yield emit()
-
-    by_group = cut.repartition(F.col("grp")).sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "part")
-    return by_group.mapInArrow(place, schema)
+                        piece = (doc, start, len(part) // 4, zlib.crc32(part), n, *([part] if with_ids else []))
+                        if piece[2] == window:
+                            out.append((piece, free, 0))
+                            free += 1
+                        else:
+                            rests.append(piece)
+                            if len(rests) >= group:
+                                close()
+                    if len(out) >= 4 * group:
+                        yield _batch(out, schema)
+                        out = []
+        close()
+        if out:
+            yield _batch(out, schema)
+
+    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("grp", *columns)), strict=True))
+        for grp, run in groupby(rows, lambda r: r[0]):
+            placed, _ = _placed([r[1:] for r in run], SECOND + grp * SPAN, window)
+            yield _batch(placed, schema)
+
+    cut = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(first_round, result)
+    placed = durable(cut)
+    left = placed.where("offset < 0")
+    groups = max(1, -(-left.count() // group))
+    dealt = left.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).select("grp", *columns).repartition(F.col("grp")).sortWithinPartitions("grp")
+    return placed.where("offset >= 0").unionByName(dealt.mapInArrow(second_round, result))
