@@ -8,14 +8,19 @@ into an AVI file: header lists, a ``movi`` list of ``00dc`` chunks, and an ``idx
 index.
 
 ``decode`` parses the RIFF tree, follows the index (or scans ``movi`` where there is
-none), decodes every frame from its own JPEG tables and returns the samples.
+none), decodes every video frame from its own JPEG tables and returns the samples.
+Besides the files that ``encode`` writes, whose frames are decoded as arrays, it reads
+other lossless grey frames (any Huffman table and predictor) and baseline frames (one
+component, or the luminance of several), one code after another.
 ``clips`` compares grey histograms of neighbouring frames; a cut is a difference over
 an adaptive threshold, mean plus ``CUT_SIGMAS`` deviations of a sliding window of
 differences, and the frames between two cuts are a clip with a start and an end time.
 
-Defined cases: a null or empty text is one row of zero samples; a one-frame file is
-one clip; equal texts give equal bytes and clips; texts of any length are coded
-whole, with memory in proportion to one text.
+Defined cases: a null or empty text is one row of zero samples; a null id stays null; a
+one-frame file is one clip; equal texts, and rows that repeat, give equal bytes and
+clips; ties in grey fall into the same bin; texts of any length are coded whole, with
+memory in proportion to one text and ``SLICE_BYTES`` of short ones; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, struct_of, texts_of
+from tidemark.llm.common import arrow_schema, bounded, struct_of, texts_of
 
 SIDE, ROWS = 64, 16
 RATE = 25
@@ -154,60 +159,234 @@ def riff(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         start = stop + size % 2
 
 
+VIDEO = (b"dc", b"db")
+
+
 def read_avi(data: bytes) -> tuple[list[bytes], float]:
-    """The frames by the index, and seconds a frame."""
+    """The video frames by the index, and seconds a frame."""
     top = next(riff(data, 0, len(data)), None)
     if top is None or top[0] != b"AVI ":
         raise MediaError("no AVI file")
     parts = {name: (a, b) for name, a, b in riff(data, top[1], top[2])}
+    if b"hdrl" not in parts or b"movi" not in parts:
+        raise MediaError("an AVI file without headers or frames")
     seconds = next((struct.unpack_from("<I", data, a)[0] / 1e6 for name, a, _ in riff(data, *parts[b"hdrl"]) if name == b"avih"), 1 / RATE)
     movi, stop = parts[b"movi"]
     if b"idx1" not in parts:
-        return [data[a:b] for name, a, b in riff(data, movi, stop) if name[2:] == b"dc"], seconds
+        return [data[a:b] for name, a, b in riff(data, movi, stop) if name[2:] in VIDEO], seconds
     entries = np.frombuffer(data[slice(*parts[b"idx1"])], np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
+    # places count from the list's type, or with some writers from the file's start
     base, frames = movi - 4, []
-    for at, size in zip(entries["at"].tolist(), entries["size"].tolist(), strict=True):
-        if struct.unpack_from("<4sI", data, base + at) != (b"00dc", size):
+    start = int(entries["at"][0]) if len(entries) else 0
+    if len(entries) and data[base + start : base + start + 4] != entries["id"][0] and data[start : start + 4] == entries["id"][0]:
+        base = 0
+    for name, at, size in zip(entries["id"].tolist(), entries["at"].tolist(), entries["size"].tolist(), strict=True):
+        if name[2:] not in VIDEO:
+            continue
+        if data[base + at : base + at + 4] != name or struct.unpack_from("<I", data, base + at + 4)[0] != size:
             raise MediaError("the index doesn't fit the chunks")
         frames.append(data[base + at + 8 : base + at + 8 + size])
     return frames, seconds
 
 
-
-def _segments(jpeg: bytes) -> tuple[int, int, bytes]:
-    """(rows, columns, entropy-coded bytes); the tables must be the nine-bit ones."""
-    at, size = 2, None
-    if jpeg[:2] != b"\xff\xd8" or jpeg[-2:] != b"\xff\xd9":
-        raise MediaError("no JPEG frame")
-    while True:
-        marker, length = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + length]
-        at += 2 + length
-        if marker == 0xC4:
-            counts, symbols = body[1:17], body[17:]
-            lengths = [n for n, c in enumerate(counts, 1) for _ in range(c)]
-            if dict(zip(symbols, lengths, strict=True)) != CODE_BITS:
-                raise MediaError("a Huffman table of another kind")
-        elif marker == 0xC3:
-            size = struct.unpack_from(">BHHB", body)
-        elif marker == 0xDA:
-            if size is None or size[0] != 8 or size[3] != 1 or body[3] != 1:
-                raise MediaError("no lossless 8-bit grey frame")
-            return size[1], size[2], jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+class Jpeg:
+    """A frame's header and entropy-coded bytes."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise MediaError("no JPEG frame")
+        self.huffman: dict[int, dict[int, int]] = {}  # class and number -> length of each symbol's code
+        self.order: dict[int, list[int]] = {}
+        self.quantizers: dict[int, np.ndarray] = {}
+        self.kind = self.restart = 0
+        at = 2
+        while True:
+            if at + 4 > len(data) or data[at] != 0xFF:
+                raise MediaError("a JPEG frame ends in its header")
+            marker, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            body = data[at + 4 : at + 2 + length]
+            at += 2 + length
+            if marker == 0xC4:
+                self._huffman(body)
+            elif marker == 0xDB:
+                self._quantizers(body)
+            elif marker in (0xC0, 0xC1, 0xC3):
+                self.kind = marker
+                self.bits, self.rows, self.columns, n = struct.unpack_from(">BHHB", body)
+                self.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+                raise MediaError(f"a JPEG frame of kind {marker:#x}")
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                if not self.kind or self.bits != 8:
+                    raise MediaError("no 8-bit JPEG frame")
+                n = body[0]
+                self.scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)}
+                self.predictor, _, low = body[1 + 2 * n : 4 + 2 * n]
+                if len(self.scan) != len(self.components) or self.kind == 0xC3 and (n != 1 or low & 15):
+                    raise MediaError("a JPEG frame of several scans or shifted samples")
+                end = data.rfind(b"\xff\xd9")
+                self.data = data[at : end if end >= at else len(data)]
+                return
+
+    def _huffman(self, body: bytes) -> None:
+        while body:
+            counts, n = body[1:17], sum(body[1:17])
+            lengths = [k for k, c in enumerate(counts, 1) for _ in range(c)]
+            self.huffman[body[0]], self.order[body[0]] = dict(zip(body[17 : 17 + n], lengths, strict=True)), list(body[17 : 17 + n])
+            body = body[17 + n :]
+
+    def _quantizers(self, body: bytes) -> None:
+        while body:
+            wide = body[0] >> 4
+            self.quantizers[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int32)
+            body = body[1 + 64 * (1 + wide) :]
+
+    @property
+    def plain(self) -> bool:
+        """Whether it is of the form that ``encode`` writes."""
+        return self.kind == 0xC3 and self.predictor == 1 and not self.restart and self.huffman.get(0) == CODE_BITS
+
+    def lookup(self, number: int) -> list[tuple[int, int]]:
+        """(length, symbol) of the code that each 16 bits begin with."""
+        if number not in self.huffman:
+            raise MediaError("a JPEG frame without its Huffman table")
+        out, code, last = [(0, 0)] * 65_536, 0, 0
+        for symbol in self.order[number]:
+            n = self.huffman[number][symbol]
+            code <<= n - last
+            out[code << (16 - n) : (code + 1) << (16 - n)] = [(n, symbol)] * (1 << (16 - n))
+            code, last = code + 1, n
+        return out
+
+    def stretches(self) -> list[bytes]:
+        """The entropy-coded bytes between restart markers, without stuffing."""
+        return [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", self.data)]
+
+
+class _Bits:
+    """Codes and numbers from a stretch of bytes; ``windows[i]``: the 16 bits from bit i on."""
+
+    def __init__(self, data: bytes):
+        wide = np.frombuffer(data + b"\x00" * 6, np.uint8).astype(np.uint32)
+        three = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+        self.windows = ((three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)) & 0xFFFF).reshape(-1).tolist()
+        self.at = 0
+
+    def code(self, table: list[tuple[int, int]]) -> int:
+        if self.at + 16 > len(self.windows):
+            raise MediaError("a JPEG frame ends in its samples")
+        n, symbol = table[self.windows[self.at]]
+        if not n:
+            raise MediaError("a code that no Huffman table has")
+        self.at += n
+        return symbol
+
+    def number(self, size: int) -> int:
+        """A signed difference of ``size`` bits."""
+        if not size:
+            return 0
+        if self.at + 16 > len(self.windows):
+            raise MediaError("a JPEG frame ends in its samples")
+        x = self.windows[self.at] >> (16 - size)
+        self.at += size
+        return x if x >> (size - 1) else x - (1 << size) + 1
+
+
+def _lossless(jpeg: Jpeg) -> np.ndarray:
+    """A lossless grey frame, sample by sample."""
+    rows, columns, way = jpeg.rows, jpeg.columns, jpeg.predictor
+    if not 1 <= way <= 7 or len(jpeg.components) != 1:
+        raise MediaError("no lossless grey frame")
+    table = jpeg.lookup(next(iter(jpeg.scan.values()))[0])
+    parts = iter(jpeg.stretches())
+    bits, out, fresh = _Bits(next(parts)), [], True
+    above: list[int] = []
+    for y in range(rows):
+        if jpeg.restart and y and y * columns % jpeg.restart == 0:
+            bits, fresh = _Bits(next(parts)), True
+        row: list[int] = []
+        for x in range(columns):
+            if fresh and not x:
+                guess = 128
+            elif fresh:
+                guess = row[-1]
+            elif not x:
+                guess = above[0]
+            else:
+                a, b, c = row[-1], above[x], above[x - 1]
+                guess = (a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) >> 1)[way - 1]
+            row.append((guess + bits.number(bits.code(table))) & 0xFFFF)
+        out.append(row)
+        above, fresh = row, False
+    return (np.array(out).reshape(rows, columns) & 0xFF).astype(np.uint8)
+
+
+# The zigzag order of a block, by its rule, and the cosines of its transform.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_COSINES = np.array([[(0.5 if u else 0.5**1.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _baseline(jpeg: Jpeg) -> np.ndarray:
+    """The grey samples of a baseline frame: its one component, or the first of several."""
+    tables = {i: (jpeg.lookup(dc), jpeg.lookup(0x10 | ac)) for i, (dc, ac) in jpeg.scan.items()}
+    alone = len(jpeg.components) == 1
+    components = [(i, 1, 1, q) if alone else (i, h, v, q) for i, h, v, q in jpeg.components]
+    most_h, most_v = max(h for _, h, *_ in components), max(v for *_, v, _ in components)
+    wide, high = -(-jpeg.columns // (8 * most_h)), -(-jpeg.rows // (8 * most_v))
+    first, h1, v1, quantizer = components[0]
+    if quantizer not in jpeg.quantizers:
+        raise MediaError("a JPEG frame without its quantizers")
+    blocks = np.zeros((high * v1, wide * h1, 64), np.int32)
+    parts = iter(jpeg.stretches())
+    bits, before = _Bits(next(parts)), dict.fromkeys(tables, 0)
+    for unit in range(wide * high):
+        if jpeg.restart and unit and unit % jpeg.restart == 0:
+            bits, before = _Bits(next(parts)), dict.fromkeys(tables, 0)
+        for i, h, v, _ in components:
+            dc, ac = tables[i]
+            for k in range(h * v):
+                before[i] += bits.number(bits.code(dc))
+                block = {0: before[i]}
+                at = 1
+                while at < 64:
+                    symbol = bits.code(ac)
+                    run, size = symbol >> 4, symbol & 15
+                    if not size and run != 15:
+                        break
+                    at += run
+                    if size and at < 64:
+                        block[at] = bits.number(size)
+                    at += 1
+                if i == first:
+                    spot = blocks[unit // wide * v + k // h, unit % wide * h + k % h]
+                    spot[list(block)] = list(block.values())
+    flat = np.zeros_like(blocks)
+    flat[:, :, ZIGZAG] = blocks * jpeg.quantizers[quantizer]
+    samples = np.einsum("ux,abuv,vy->axby", _COSINES, flat.reshape(*flat.shape[:2], 8, 8).astype(float), _COSINES)
+    whole = np.clip(np.rint(samples) + 128, 0, 255).astype(np.uint8).reshape(8 * blocks.shape[0], -1)
+    return whole[: -(-jpeg.rows * v1 // most_v), : -(-jpeg.columns * h1 // most_h)]
 
 
 def decode_frames(jpegs: list[bytes]) -> list[np.ndarray]:
-    """Samples of each frame; frames of one size are decoded together."""
-    parsed = [_segments(j) for j in jpegs]
+    """Samples of each frame; plain frames of one size are decoded together."""
+    parsed = list(map(Jpeg, jpegs))
     out: list[np.ndarray] = []
     i = 0
     while i < len(parsed):
+        x = parsed[i]
+        if not x.plain:
+            out.append(_lossless(x) if x.kind == 0xC3 else _baseline(x))
+            i += 1
+            continue
         j = i
-        while j < len(parsed) and j < i + SLAB and parsed[j][:2] == parsed[i][:2]:
+        while j < len(parsed) and j < i + SLAB and parsed[j].plain and (parsed[j].rows, parsed[j].columns) == (x.rows, x.columns):
             j += 1
-        rows, columns, _ = parsed[i]
-        words = _unpack9(np.frombuffer(b"".join(p[2] for p in parsed[i:j]), np.uint8))
-        d = _BACK[words].astype(np.int32).reshape(j - i, rows, columns)
+        data = np.frombuffer(b"".join(p.data.replace(b"\xff\x00", b"\xff") for p in parsed[i:j]), np.uint8)
+        if len(data) * 8 < (j - i) * x.rows * x.columns * 9 or len(data) % 9 or x.rows * x.columns % 8:
+            raise MediaError("a JPEG frame ends in its samples")
+        d = _BACK[_unpack9(data)].astype(np.int32).reshape(j - i, x.rows, x.columns)
         d[:, :, 0] = np.cumsum(d[:, :, 0], 1) + 128
         out += list(np.cumsum(d, 2).astype(np.uint8))
         i = j
@@ -250,11 +429,9 @@ def media_column(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``(doc_id, n_bytes, media)``: each text as an AVI file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
-            for at in range(0, len(texts), 500):
-                stored = [(n, encode(p)) for n, p in map(payload_of, texts[at : at + 500])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array([n for n, _ in stored], pa.int64()), pa.array([m for _, m in stored], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for batch in bounded(batches, "text"):
+            stored = [(n, encode(p)) for n, p in map(payload_of, texts_of(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in stored], pa.int64()), pa.array([m for _, m in stored], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -268,7 +445,7 @@ def read_media(media: DataFrame) -> DataFrame:
     schema = arrow_schema(READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "media"):
             out: list[tuple] = []
             for doc, n, stored in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
                 data = stored.as_py()
