@@ -26,8 +26,17 @@ def test_run_against_brute_force(spark, data, documents):
     classes = brute(list(rows.items()))
     rows = {d: t for d, t in rows.items() if classes[d][0] == d}
     benchmark = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    patterns = decontaminate.Patterns(benchmark)
-    rows = {d: t for d, t in rows.items() if not patterns.find(t)[1]}
+    passages = set()
+    for _, text in benchmark:
+        w = decontaminate.words_of(text)
+        passages |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
+    lengths = {len(x) for x in passages}
+
+    def clean(text):
+        w = decontaminate.words_of(text)
+        return not any(tuple(w[i : i + n]) in passages for n in lengths for i in range(len(w) - n + 1))
+
+    rows = {d: t for d, t in rows.items() if clean(t)}
     crf = pii.fit(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
     rows = {d: pii.masked_text(t, pii.spans_of(crf, t)[1]) for d, t in rows.items()}
     ids = {d: np.frombuffer(x + bytes(4), "<u4") for d, x in zip(rows, packing.Encoder(packing.tokenizer_path()).whole(list(rows.values())), strict=True)}

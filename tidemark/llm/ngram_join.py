@@ -446,3 +446,34 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return -math.expm1(trees * math.log1p(-(similarity**depth))) if similarity < 1 else 1.0
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents
+), t AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w
+), g AS (
+  SELECT doc_id, n, place, concat_ws(' ', word, lead(word, 1) OVER x, lead(word, 2) OVER x, lead(word, 3) OVER x, lead(word, 4) OVER x) AS shingle FROM t WINDOW x AS (PARTITION BY doc_id ORDER BY place)
+), f AS (
+  SELECT doc_id, list_sort(list(DISTINCT shingle)) AS shingles FROM g WHERE place <= greatest(1, n - 4) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, text, shingles FROM f JOIN documents USING (doc_id)
+), c AS (
+  SELECT min(doc_id) AS cid, shingles, count(*) AS n_copies, count(DISTINCT text) AS n_texts FROM s GROUP BY shingles
+), e AS (
+  SELECT cid, len(shingles) AS size, unnest(shingles) AS shingle FROM c
+), i AS (
+  SELECT cid, size, shingle FROM e WHERE shingle IN (SELECT shingle FROM e GROUP BY shingle HAVING count(*) > 1)
+), p AS (
+  SELECT a.cid AS u, b.cid AS v FROM i a JOIN i b ON a.shingle = b.shingle AND a.cid <> b.cid GROUP BY a.cid, b.cid, a.size, b.size HAVING 9 * count(*) >= 4 * (a.size + b.size)
+), r AS (
+  SELECT cid AS u, cid AS v FROM c UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u
+), k AS (
+  SELECT u AS cid, min(v) AS class_id FROM r GROUP BY u
+), l AS (
+  SELECT p.u AS cid, sum(c.n_texts) AS links FROM p JOIN c ON c.cid = p.v GROUP BY p.u
+)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(l.links, 0) + coalesce(c.n_texts, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.shingles = s.shingles LEFT JOIN k ON k.cid = c.cid LEFT JOIN l ON l.cid = c.cid
+"""

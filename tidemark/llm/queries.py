@@ -57,4 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_ngram_jaccard_join, op3_html_extraction, op4_warc, op5_packing, op6_decontamination, op7_pii, op8_sharding, op9_media, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": arc.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op4_warc": arc.ORACLE_SQL,
+    "op6_decontamination": decontaminate.ORACLE_SQL,
+    "op8_sharding": shards.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
+}

@@ -13,7 +13,7 @@ broadcast or meets in one task.
 
 Defined cases: a null text has no bytes and checksum 0; null ids come first; rows
 that repeat follow each other in any order (their results are the same set); an
-empty table gives no rows.
+empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -51,3 +51,24 @@ def shard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     placed = durable(placed)
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row a shard
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+# CRC-32 of each half byte, for the reflected polynomial.
+ORACLE_SQL = """
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT doc_id, size, list_transform(string_split(x, ''), lambda c: instr('123456789ABCDEF', c)) AS h FROM d
+), n AS (
+  SELECT doc_id, size, list_prepend(4294967295, list_transform(range(2 * size - 32), lambda i: h[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END])) AS halves FROM b
+), k AS (
+  SELECT doc_id, size, xor(list_reduce(halves, lambda c, y: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(c & 15, y) + 1])), 4294967295) AS text_crc32 FROM n
+), o AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM k
+), s AS (
+  SELECT *, CAST(least(39, (40 * (2 * upto - size)) // (2 * total)) AS INTEGER) AS shard FROM o
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
