@@ -25,5 +25,9 @@ class SeriesFull(TidemarkError, ValueError):
     """A bounded series that stops when full has no room."""
 
 
+class StoreLocked(TidemarkError, RuntimeError):
+    """Another writer holds the store."""
+
+
 class EmptySeries(TidemarkError, LookupError):
     """There is no latest value."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.split import places
+from tidemark.storage import fresh
 
 FRAME_ROWS = 1_000
 
@@ -12,11 +14,14 @@ FRAME_ROWS = 1_000
 def frames(df: DataFrame, keys: list[str], time: str, sums: str, means: str, rows: int = FRAME_ROWS) -> DataFrame:
     """Sum of one field, and sum and mean of another, for each complete frame of each series.
 
-    The frame of a row follows from its place in time order; the last, incomplete
-    frame is dropped.
+    The frame of a row follows from its place in time order, which no task counts for a
+    whole series; the last, incomplete frame is dropped.  A null key is a series of its
+    own; rows of one time come in any order; nulls of a field add nothing; an empty
+    table gives no frames.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1
-    framed = df.withColumn("frame", F.floor(place / rows).cast("long"))
+    slim = df.select(*dict.fromkeys([*keys, time, sums, means]))
+    [place] = fresh(slim, "_place")
+    framed = places(slim, keys, time, place).withColumn("frame", F.floor(F.col(place) / rows).cast("long"))
     found = framed.groupBy(*keys, "frame").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("start"), F.sum(means).alias("mean_sum"), F.sum(sums).alias("sum"), F.avg(means).alias("mean"))
     return found.where(F.col("n") == rows).drop("n")
 

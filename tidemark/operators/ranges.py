@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.split import places
+from tidemark.storage import fresh
 
 
 def multi_range(df: DataFrame, ranges: DataFrame, keys: list[str], time: str, width: int, *, start: str = "range_start", end: str = "range_end") -> DataFrame:
@@ -14,13 +16,17 @@ def multi_range(df: DataFrame, ranges: DataFrame, keys: list[str], time: str, wi
     it touches, and rows meet ranges by an equi-join on the bucket with the bounds as
     a residual; there is no nested-loop join, and the engine chooses to broadcast the
     ranges by their size.  A width near the ranges' own gives two or three buckets.
+    Rows and ranges with a null key, time or bound meet nothing; ranges that repeat
+    each get their rows.
     """
     bucket = F.floor(F.col(time) / width)
     touched = F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
-    listed = ranges.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(touched))
-    dealt = df.withColumn("_bucket", bucket)
-    joined = dealt.join(listed, [*keys, "_bucket"])
-    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_bucket")
+    # a name that is free in both tables
+    [name] = fresh(df, "_bucket")
+    [name] = fresh(ranges, name)
+    listed = ranges.where(F.col(start) < F.col(end)).withColumn(name, F.explode(touched))
+    joined = df.withColumn(name, bucket).join(listed, [*keys, name])
+    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop(name)
 
 
 def lower_bounds(df: DataFrame, keys: list[str], time: str, targets: list) -> DataFrame:
@@ -30,6 +36,5 @@ def lower_bounds(df: DataFrame, keys: list[str], time: str, targets: list) -> Da
 
 
 def fence_index(df: DataFrame, keys: list[str], time: str, stride: int = 1024) -> DataFrame:
-    """(keys, time, place) of every ``stride``-th row in time order, from place 0."""
-    place = (F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1).cast("long")
-    return df.select(*keys, time, place.alias("place")).where(F.col("place") % stride == 0)
+    """(keys, time, place) of every ``stride``-th row in time order, from place 0; no task counts a whole series."""
+    return places(df.select(*keys, time), keys, time, "place").where(F.col("place") % stride == 0)

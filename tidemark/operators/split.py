@@ -6,6 +6,10 @@ parts before it hold (a number of rows, a greatest time) is carried over from th
 totals.  Only series that span partitions have a carry, and a partition can share no
 more than its first and its last series with others: the carries are at most two
 rows a partition, which bounds what is broadcast.
+
+Defined cases: a null key is a series of its own; rows with a null order come first; ties
+in the order come in any order, but each row once; an empty table gives no rows; no
+column of the caller's is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -16,49 +20,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.storage import durable, fresh
 
-def _dealt(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Range partitions, checkpointed so that totals and windows see the same ones after a lost executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()).checkpoint()
 
+def _with_carry(df: DataFrame, keys: list[str], order: str, total: Column, gather: Callable[[Column], Column]) -> tuple[DataFrame, str, str]:
+    """``df`` in range partitions, with the gathered totals of a series' parts before this one, or null.
 
-def _with_carry(dealt: DataFrame, keys: list[str], total: Column, gather: Callable[[str], Column]) -> DataFrame:
-    """``dealt`` with ``_carry``: the gathered totals of the parts of a series before this one, or null."""
-    parts = dealt.groupBy("_part", *keys).agg(total.alias("_total"))
-    spans = parts.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_parts > 1")
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    names = [f"_key{i}" for i in range(len(keys))]
-    carries = spans.select(F.col("_part").alias("_of"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), gather("_total").over(before).alias("_carry"))
-    same = F.col("_part") == F.col("_of")
+    Also returned: the names of the partition's and the carry's columns.  The
+    partitions are checkpointed, so that totals and windows see the same ones after
+    a lost executor.
+    """
+    part, carry, of, all_parts, *names = fresh(df, "_part", "_carry", "_of", "_parts", *(f"_key{i}" for i in range(len(keys))))
+    dealt = durable(df.repartitionByRange(*keys, order).withColumn(part, F.spark_partition_id()))
+    # keys by their own names here, so that a total's name can't clash with them
+    same_keys = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    parts = dealt.groupBy(F.col(part).alias(of), *same_keys).agg(total.alias(carry))
+    spans = parts.withColumn(all_parts, F.count(F.lit(1)).over(Window.partitionBy(*names))).where(F.col(all_parts) > 1)
+    before = Window.partitionBy(*names).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    carries = spans.select(of, *names, gather(F.col(carry)).over(before).alias(carry))
+    same = F.col(part) == F.col(of)
     for k, n in zip(keys, names, strict=True):
         same &= F.col(k).eqNullSafe(F.col(n))
     # at most two rows a partition
-    return dealt.join(F.broadcast(carries), same, "left").drop("_of", *names)
+    return dealt.join(F.broadcast(carries), same, "left").drop(of, *names), part, carry
 
 
 def places(df: DataFrame, keys: list[str], order: str, name: str = "place") -> DataFrame:
     """Each row's place, from 0, in the order of its series; ties come in any order."""
-    placed = _with_carry(_dealt(df, keys, order), keys, F.count(F.lit(1)), F.sum)
-    n = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(order))
-    return placed.withColumn(name, (n - 1 + F.coalesce("_carry", F.lit(0))).cast("long")).drop("_part", "_carry")
+    placed, part, carry = _with_carry(df, keys, order, F.count(F.lit(1)), F.sum)
+    n = F.row_number().over(Window.partitionBy(part, *keys).orderBy(order))
+    return placed.withColumn(name, (n - 1 + F.coalesce(carry, F.lit(0))).cast("long")).drop(part, carry)
+
+
+def _last_stored(df: DataFrame, stored: DataFrame | None, keys: list[str], time: str) -> tuple[DataFrame, Column]:
+    """``df`` with the greatest stored time of each series, or null."""
+    if stored is None:
+        return df, F.lit(None).cast("long")
+    if not keys:
+        return df, F.lit(stored.agg(F.max(time)).first()[0])
+    last, *names = fresh(df, "_last", *(f"_stored{i}" for i in range(len(keys))))
+    # a row for each series, from partial maxima
+    found = stored.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.max(time).alias(last))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same &= df[k].eqNullSafe(found[n])
+    return df.join(found, same, "left").drop(*names), F.col(last)
 
 
 def assign_sequence_split(df: DataFrame, keys: list[str], arrival: str, time: str, stored: DataFrame | None = None, first: int = 1) -> DataFrame:
-    """As ``assign_sequence``, without a task that holds a whole series; ``stored`` needs keys, else give ``first``."""
-    placed = places(df, keys, arrival, "_place")
-    start = F.lit(first)
-    if stored is not None:
-        placed = placed.join(stored.groupBy(*keys).agg(F.max(time).alias("_last")), keys, "left")
-        start += F.coalesce("_last", F.lit(0))
-    return placed.withColumn(time, (F.col("_place") + start).cast("long")).select(*df.columns)
+    """As ``assign_sequence``, without a task that holds a whole series; ``first``: of a series that isn't stored."""
+    [place] = fresh(df, "_place")
+    placed, last = _last_stored(places(df, keys, arrival, place), stored, keys, time)
+    return placed.withColumn(time, (F.col(place) + F.coalesce(last + 1, F.lit(first))).cast("long")).select(*df.columns)
 
 
-def admit_monotonic_split(df: DataFrame, keys: list[str], arrival: str, time: str) -> DataFrame:
-    """As ``admit_monotonic``, without a task that holds a whole series."""
-    dealt = _with_carry(_dealt(df, keys, arrival), keys, F.max(time), F.max)
-    own = F.max(time).over(Window.partitionBy("_part", *keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+def _ahead_split(df: DataFrame, keys: list[str], arrival: str, time: str, stored: DataFrame | None) -> tuple[DataFrame, Column]:
+    dealt, part, carry = _with_carry(df, keys, arrival, F.max(time), F.max)
+    dealt, last = _last_stored(dealt, stored, keys, time)
+    own = F.max(time).over(Window.partitionBy(part, *keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    [most] = fresh(dealt, "_most")
     # greatest skips nulls: a part without earlier rows has the carry alone
-    return dealt.withColumn("_most", F.greatest(own, "_carry")).where(F.col("_most").isNull() | (F.col(time) > F.col("_most"))).select(*df.columns)
+    marked = dealt.withColumn(most, F.greatest(own, F.col(carry), last))
+    return marked, F.col(most).isNull() | (F.col(time) > F.col(most))
+
+
+def admit_monotonic_split(df: DataFrame, keys: list[str], arrival: str, time: str, stored: DataFrame | None = None) -> DataFrame:
+    """As ``admit_monotonic``, without a task that holds a whole series."""
+    marked, ok = _ahead_split(df, keys, arrival, time, stored)
+    return marked.where(ok).select(*df.columns)
+
+
+def rejects_split(df: DataFrame, keys: list[str], arrival: str, time: str, stored: DataFrame | None = None) -> DataFrame:
+    """As ``rejects``, without a task that holds a whole series."""
+    marked, ok = _ahead_split(df, keys, arrival, time, stored)
+    return marked.where(~ok).select(*df.columns)

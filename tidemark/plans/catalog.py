@@ -35,6 +35,7 @@ from tidemark.operators import (
 from tidemark.plans import streams
 from tidemark.schema import Kind, SeriesSchema
 from tidemark.series import Series
+from tidemark.sources import decode_logs, encode_logs, header_of, ring_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,10 +384,8 @@ def frame_totals(spark, sf_dir):
 SELECT event_type, frame, arg_min(value, t) AS open, max(value) AS high, min(value) AS low, arg_max(value, t) AS close
 FROM (SELECT *, epoch_us(ts) AS t, (row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1) // 100 AS frame FROM events) GROUP BY event_type, frame""")
 def frame_open_close(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("t")) - 1
-    framed = named(raw(spark, sf_dir)).withColumn("frame", F.floor(place / 100).cast("long"))
+    placed = places(named(raw(spark, sf_dir)).select("event_type", "t", "value"), ["event_type"], "t")
+    framed = placed.withColumn("frame", F.floor(F.col("place") / 100).cast("long"))
     return framed.groupBy("event_type", "frame").agg(F.min_by("value", "t").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "t").alias("close"))
 
 
@@ -418,15 +417,33 @@ def multi_range_scan(spark, sf_dir):
 
 @query("SELECT event_type AS series, event_id, epoch_us(ts) AS t, value, value > 50 AS large FROM events")
 def log_round_trip(spark, sf_dir):
-    from tidemark.sources import decode_logs, encode_logs
-
     schema = SeriesSchema.of(time="t", t=Kind.I64, event_id=Kind.I64, value=Kind.F64, large=Kind.BOOL)
-    header = b"\x00" * 12
+    header = header_of(schema)
     rows = named(raw(spark, sf_dir)).withColumn("large", F.col("value") > 50)
-    parts = encode_logs(rows, schema, "event_type", header)
+    parts = encode_logs(rows, schema, "event_type", part_records=5_000)
     # a later part has no header of its own
     files = parts.select("series", F.when(F.col("part") == 0, F.col("content")).otherwise(F.concat(F.lit(header), F.col("content"))).alias("content"))
-    return decode_logs(files, schema)
+    return decode_logs(files, schema, header=header)
+
+
+LOG = SeriesSchema.of(time="t", t=Kind.I64, event_id=Kind.I64, value=Kind.F64)
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of KEEP records that have wrapped around; each is one part."""
+    return encode_logs(named(raw(spark, sf_dir)), LOG, "event_type", capacity=KEEP).select("series", "content")
+
+
+@query(f"SELECT event_type AS series, event_id, epoch_us(ts) AS t, value FROM ({_newest('*')})")
+def log_wrapped(spark, sf_dir):
+    return decode_logs(_wrapped(spark, sf_dir), LOG, header=header_of(LOG))
+
+
+@query(f"""
+SELECT event_type AS series, least(count(*), {KEEP}) AS records, epoch_us(max(ts)) AS last, CASE WHEN count(*) < {KEEP} THEN count(*) ELSE count(*) % {KEEP} END AS cursor, count(*) > {KEEP} AND count(*) % {KEEP} > 0 AS wrapped
+FROM events GROUP BY event_type""")
+def log_recovery(spark, sf_dir):
+    return ring_state(_wrapped(spark, sf_dir), LOG, KEEP, header=header_of(LOG))
 
 
 # --- streams
@@ -447,6 +464,13 @@ def stream_latest(spark, sf_dir):
     return streams.latest(spark, sf_dir)
 
 
+@query(f"""
+SELECT epoch_us(day) AS window_start, event_type, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(*) AS count, round(avg(value), 6) AS mean
+FROM (SELECT *, date_trunc('day', ts) AS day FROM events) GROUP BY day, event_type""")
+def stream_windows(spark, sf_dir):
+    return rounded(streams.windows(spark, sf_dir))
+
+
 @query(_newest("event_id, event_type, epoch_us(ts) AS t"))
 def stream_retained(spark, sf_dir):
     return streams.retained(spark, sf_dir, KEEP)

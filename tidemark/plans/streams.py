@@ -10,23 +10,23 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.functions import micros
 from tidemark.schema import Kind, SeriesSchema
-from tidemark.streaming import admit_stream, latest_version, number_stream, retained_sink, running_latest
+from tidemark.storage import shared_folder
+from tidemark.streaming import admit_stream, latest_version, number_stream, retained_sink, running_latest, state_session, windowed_stats
 
 TIMEOUT = 600
+#: Files that a micro-batch reads at most.
+FILES_A_BATCH = 16
 
 
 def _folder(spark: SparkSession) -> str:
     """A folder of its own for a query's progress and output, in the shared place."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     # as a pattern, since a plain path must be a folder
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(f"{path}*")
 
 
 def _finish(writer: DataStreamWriter, folder: str) -> None:
@@ -38,7 +38,7 @@ def _finish(writer: DataStreamWriter, folder: str) -> None:
 
 def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", micros("o_orderdate").alias("t"))
+    rows = _read(state_session(spark), sf_dir, "orders").select("o_orderkey", "o_orderpriority", micros("o_orderdate").alias("t"))
     admitted = admit_stream(rows, ["o_orderpriority"], "o_orderkey", "t")
     _finish(admitted.writeStream.format("parquet").option("path", f"{folder}/rows"), folder)
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
@@ -46,7 +46,7 @@ def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    rows = _read(spark, sf_dir, "events").select("event_id", "event_type", micros("ts").alias("t"))
+    rows = _read(state_session(spark), sf_dir, "events").select("event_id", "event_type", micros("ts").alias("t"))
     numbered = number_stream(rows, ["event_type"], "event_id", "t")
     _finish(numbered.writeStream.format("parquet").option("path", f"{folder}/rows"), folder)
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
@@ -71,3 +71,16 @@ def retained(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     _finish(rows.writeStream.foreachBatch(retained_sink(f"{folder}/newest", ["event_type"], "t", n)), folder)
     found = latest_version(spark, f"{folder}/newest")
     return found if found is not None else spark.createDataFrame([], rows.schema).select(F.col("event_id"), "event_type", "t")
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    schema = SeriesSchema.of(time="t", t=Kind.I64, value=Kind.F64)
+    rows = _read(spark, sf_dir, "events").select("event_type", micros("ts").alias("t"), "value")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows")
+
+    view = windowed_stats(rows, schema, ["event_type"], "value", "1 day", "365 days")
+    _finish(view.writeStream.outputMode("complete").foreachBatch(keep), folder)
+    return spark.read.parquet(f"{folder}/windows")

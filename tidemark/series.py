@@ -9,22 +9,39 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import EmptySeries, NotMonotonic, SchemaError, SeriesFull
 from tidemark.functions import as_number, conjunction, latest, statistics
-from tidemark.operators import admit_monotonic, assign_sequence, frames, in_order, multi_range, range_scan, rejects, retain_newest, retain_oldest
+from tidemark.operators import admit_monotonic_split, assign_sequence_split, frames, in_order, multi_range, range_scan, rejects_split, retain_newest, retain_oldest
 from tidemark.schema import SeriesSchema
+from tidemark.storage import fresh
+
+
+def bound_of(schema: SeriesSchema, keep: int | None, max_bytes: int | None) -> int | None:
+    """Rows that a series keeps, from a number or a byte budget; both: the smaller."""
+    held = [n for n in (keep, None if max_bytes is None else schema.capacity(max_bytes)) if n is not None]
+    return min(held, default=None)
+
+
+def require_room(rows: DataFrame, keys: list[str], keep: int) -> None:
+    """Raise if a series has more than ``keep`` rows."""
+    [n] = fresh(rows, "_rows")
+    over = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > keep).first()
+    if over is not None:
+        raise SeriesFull(f"a series holds {keep} rows, not {over[n]}: {[over[k] for k in keys]}")
 
 
 class Series:
     """Series of one schema, told apart by key columns; without keys there is one.
 
-    ``keep`` bounds each series to its newest rows; with ``stop_when_full`` to its
-    first ones.
+    ``keep``, or the records that ``max_bytes`` hold, bound each series to its newest
+    rows; with ``stop_when_full`` to its first ones, and then an append that doesn't
+    fit raises and adds nothing.
     """
 
-    def __init__(self, df: DataFrame, schema: SeriesSchema, keys: list[str] | None = None, *, keep: int | None = None, stop_when_full: bool = False):
+    def __init__(self, df: DataFrame, schema: SeriesSchema, keys: list[str] | None = None, *, keep: int | None = None, max_bytes: int | None = None, stop_when_full: bool = False):
         self.keys = list(keys or [])
         missing = [c for c in [*self.keys, *schema.names] if c not in df.columns]
         if missing:
             raise SchemaError(f"missing columns: {missing}")
+        keep = bound_of(schema, keep, max_bytes)
         if keep is not None and keep < 1:
             raise SchemaError("a series keeps at least one row")
         self.schema, self.keep, self.stop_when_full = schema, keep, stop_when_full
@@ -98,17 +115,16 @@ class Series:
         ``on_reject``: "drop" leaves bad rows out, "raise" fails on the first one.
         """
         rows = self.schema.conform(batch)
-        if on_reject == "raise" and not rejects(rows, self.keys, arrival, self.schema.time, self.df).isEmpty():
+        if on_reject == "raise" and not rejects_split(rows, self.keys, arrival, self.schema.time, self.df).isEmpty():
             raise NotMonotonic("times of the batch don't strictly increase")
-        good = admit_monotonic(rows, self.keys, arrival, self.schema.time, self.df)
-        return self._grown(good)
+        return self._grown(admit_monotonic_split(rows, self.keys, arrival, self.schema.time, self.df))
 
     def append_numbered(self, batch: DataFrame, arrival: str) -> Series:
         """As ``append``, with times assigned after the stored ones."""
-        return self._grown(assign_sequence(self.schema.conform(batch), self.keys, arrival, self.schema.time, self.df))
+        return self._grown(assign_sequence_split(self.schema.conform(batch), self.keys, arrival, self.schema.time, self.df))
 
     def _grown(self, rows: DataFrame) -> Series:
         both = self.df.select(*self.keys, *self.schema.names).unionByName(rows.select(*self.keys, *self.schema.names))
-        if self.stop_when_full and self.keep is not None and not self.keys and both.count() > self.keep:
-            raise SeriesFull(f"the series holds {self.keep} rows")
+        if self.stop_when_full and self.keep is not None:
+            require_room(both, self.keys, self.keep)
         return Series(both, self.schema, self.keys, keep=self.keep, stop_when_full=self.stop_when_full)

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.errors import SchemaError
 from tidemark.operators import range_scan
 from tidemark.schema import LOG_HEADER_BYTES, Field, Kind, SeriesSchema
-from tidemark.sources.log import RECORDS_A_BATCH, as_column, record_type
+from tidemark.sources.log import RECORDS_A_BATCH, as_column, check_header, record_type
 
 ROWS_PER_TASK = 1_000_000
 
@@ -46,6 +46,7 @@ class _Reader(DataSourceReader):
         self._schema = _schema_of(options)
         self._paths = options["path"]
         self._header = int(options.get("header_bytes", LOG_HEADER_BYTES))
+        self._expected = bytes.fromhex(options["header"]) if "header" in options else None
         self._rows = int(options.get("rows_per_task", ROWS_PER_TASK))
         self._start, self._end = (int(options[x]) if x in options else None for x in ("start", "end"))
 
@@ -67,6 +68,9 @@ class _Reader(DataSourceReader):
             size = os.path.getsize(path) - self._header
             if size < 0 or size % self._schema.record_bytes:
                 raise SchemaError(f"{path}: {size} bytes of records of {self._schema.record_bytes}")
+            if self._expected is not None:
+                with open(path, "rb") as file:
+                    check_header(file.read(self._header), self._expected)
             total = size // self._schema.record_bytes
             for first in range(0, total, self._rows):
                 rows = min(self._rows, total - first)
@@ -93,10 +97,15 @@ class RecordLogSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def record_log(spark: SparkSession, path: str, schema: SeriesSchema, *, start: int | None = None, end: int | None = None, header_bytes: int = LOG_HEADER_BYTES, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Rows of all logs that a pattern names, of ``start <= time < end`` if bounds are given."""
+def record_log(spark: SparkSession, path: str, schema: SeriesSchema, *, start: int | None = None, end: int | None = None, header: bytes | None = None, header_bytes: int = LOG_HEADER_BYTES, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows of all logs that a pattern names, of ``start <= time < end`` if bounds are given.
+
+    ``header``: what each log has to begin with, as of ``header_of``.
+    """
     spark.dataSource.register(RecordLogSource)
     options = {"fields": ",".join(f"{f.name}:{f.kind.name}" for f in schema.fields), "time": schema.time, "header_bytes": header_bytes, "rows_per_task": rows_per_task}
+    if header is not None:
+        options["header"] = header.hex()
     if start is not None and end is not None:
         options |= {"start": start, "end": end}
     df = spark.read.format("record_log").options(**options).load(path)

@@ -2,8 +2,14 @@
 
 There is no lateness: a row that isn't ahead of its series is rejected, which a
 watermark (global progress) can't say.  Rows of a micro-batch are put in order of an
-arrival column, since a shuffle doesn't keep theirs.  The session must use the
-RocksDB state store.
+arrival column, since a shuffle doesn't keep theirs, so a series' rows of one batch are
+held by one task: bound a batch at its source (``maxFilesPerTrigger``,
+``maxOffsetsPerTrigger``).  The session must use the RocksDB state store;
+``state_session`` gives one that does and leaves the caller's as it is.
+
+Defined cases: a null key is a series of its own; rows with a null time are let through
+only before their series has a time; rows of one arrival keep the order they come in;
+a batch without rows changes nothing.
 """
 
 from __future__ import annotations
@@ -15,11 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.errors import TidemarkError
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set(PROVIDER, ROCKSDB)
+    return session
 
 
 class _LastTime(StatefulProcessor):
@@ -58,7 +72,8 @@ class _Counter(_LastTime):
 
 
 def _apply(stream: DataFrame, keys: list[str], processor: StatefulProcessor) -> DataFrame:
-    use_rocksdb(stream.sparkSession)
+    if stream.sparkSession.conf.get(PROVIDER, None) != ROCKSDB:
+        raise TidemarkError("keyed state needs the RocksDB state store: read the stream in state_session(spark)")
     return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=stream.schema, outputMode="Append", timeMode="None")
 
 
