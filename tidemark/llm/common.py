@@ -14,29 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FALLBACK_CHECKPOINTS = "/tmp/checkpoints"
+from tidemark.storage import shared_folder
+
 #: Bytes of text that a Python worker turns into strings at a time; a longer text goes alone.
 SLICE_BYTES = 4 << 20
+#: Rows of a few numbers that make a file.
+ROWS_A_FILE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session's ``spark.checkpoint.dir`` names.
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    ``rows``: a bound on the rows, if one is known; a small table then goes into few
+    files, however many partitions it comes in.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINTS)
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     return df.checkpoint(eager=True)
 
 
@@ -108,21 +107,22 @@ def with_text(df: DataFrame, text: str, change: Callable[[list[str]], list[str]]
     """``df`` with new texts and, where that column exists, new lengths; null stays null."""
     schema = arrow_schema(df.schema)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        old = batch.column(text).to_pylist()
-        given = [i for i, t in enumerate(old) if t is not None]
-        new = list(old)
-        for i, t in zip(given, change([old[i] for i in given]), strict=True):
-            new[i] = t
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        columns[text] = pa.array(new, pa.string())
-        if length in columns:
-            was = batch.column(length).to_pylist()
-            lengths = [w if t is None or t == o else len(t) for w, t, o in zip(was, new, old, strict=True)]
-            columns[length] = pa.array(lengths, schema.field(length).type)
-        return pa.RecordBatch.from_arrays([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
-
-    return map_rows(df, one, df.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text):
+            old = batch.column(text).to_pylist()
+            given = [i for i, t in enumerate(old) if t is not None]
+            new = list(old)
+            for i, t in zip(given, change([old[i] for i in given]), strict=True):
+                new[i] = t
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            columns[text] = pa.array(new, pa.string())
+            if length in columns:
+                was = batch.column(length).to_pylist()
+                lengths = [w if t is None or t == o else len(t) for w, t, o in zip(was, new, old, strict=True)]
+                columns[length] = pa.array(lengths, schema.field(length).type)
+            yield pa.RecordBatch.from_arrays([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def crc_of_id(name: str):
