@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir).  All stages
 but the last return the columns of ``documents``; the last returns packed pieces.
+
+Defined cases, in every stage: null and empty texts are clean, like no other text and
+hold nothing to mask; rows with a null id stay, and of rows that repeat an id the
+similarity join keeps one; equal texts are judged alike and the least id stays; columns
+beside id and text pass through, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -52,11 +57,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet table in the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    """All stages over ``documents``; each result is a Parquet table in the shared folder, until the next one is there."""
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}", None
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
