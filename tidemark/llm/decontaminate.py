@@ -25,14 +25,14 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, arrow_schema, bounded, struct_of, texts_of
+from tidemark.llm.common import arrow_schema, bounded, struct_of, texts_of
 from tidemark.llm.mapped import DigestArray, mapped, share
 
 #: Over UTF-8 bytes: digits, lower-case letters, and every byte of a non-ASCII character.
@@ -41,8 +41,8 @@ WINDOW = 10
 MAX_PATTERNS = 1_000_000
 #: The shift table's size is a power of two, at most this one.
 SHIFT_BITS = 24
-#: Places that are looked up at a time, and words that a worker remembers.
-AT_ONCE, WORDS = 20_000, 100_000
+#: Places that are looked up at a time, and words of all slices that a worker holds itself.
+AT_ONCE, WORDS = 20_000, 200_000
 _TIMES = 0x9E3779B1
 _LEAST_BITS = 10
 
@@ -88,7 +88,7 @@ def build(benchmark: Iterable[tuple[str, str]], window: int = WINDOW) -> dict[st
         keys = _ends_key(_block(windows, m, width), _block(windows, width, width))
         order = np.argsort(keys, kind="stable")
         far = m - width + 1
-        bits = min(SHIFT_BITS, max(_LEAST_BITS, int(4 * far * len(windows)).bit_length()))
+        bits = min(SHIFT_BITS, max(_LEAST_BITS, int(16 * far * len(windows)).bit_length()))
         shift = np.full(1 << bits, far, np.uint8 if far < 256 else np.uint32)
         for end in range(width, m + 1):
             block = _block(windows, end, width)
@@ -127,35 +127,42 @@ class WuManber:
 
     def search(self, ids: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         """(start, numbers of the items) of each occurrence."""
-        ends = np.array(self.ends(ids), np.int64)
-        m, width = self.length, min(2, self.length)
+        ends, m, width = self.ends(ids), self.length, min(2, self.length)
         for at in range(0, len(ends), AT_ONCE):
-            starts = ends[at : at + AT_ONCE] - m
-            first = int(starts[0])
-            here = np.array(ids[first : int(starts[-1]) + m], np.uint32)[(starts - first)[:, None] + np.arange(m)]
+            starts = [e - m for e in ends[at : at + AT_ONCE]]
+            here = np.array([ids[i : i + m] for i in starts], np.uint32)
             keys = _ends_key(_block(here, m, width), _block(here, width, width))
-            low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            for i in np.flatnonzero(low < high).tolist():
-                same = (self.windows[low[i] : high[i]] == here[i]).all(1)
+            low = np.searchsorted(self.keys, keys)
+            for i in np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == keys).tolist():
+                high = int(np.searchsorted(self.keys, keys[i], "right"))
+                same = (self.windows[low[i] : high] == here[i]).all(1)
                 if same.any():
-                    yield int(starts[i]), self.items[low[i] : high[i]][same]
+                    yield starts[i], self.items[low[i] : high][same]
 
 
 class Patterns:
     """A slice's tables, ready to search texts."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], remembered: int = WORDS):
-        words = DigestArray({k: arrays[f"words.{k}"] for k in ("keys", "ends", "blob", "values")})
-        self.numbers = Memo(lambda w: max(0, words.find([w])[0]), remembered)
+    def __init__(self, arrays: dict[str, np.ndarray], held: int = WORDS):
+        self._words = DigestArray({k: arrays[f"words.{k}"] for k in ("keys", "ends", "blob", "values")})
+        self._held = {self._words.string(i): n for i, n in enumerate(self._words.values.tolist())} if len(self._words.keys) <= held else None
         self._ends, self._blob = arrays["names.ends"], arrays["names.blob"]
         self.searches = [WuManber(arrays, m) for m in arrays["lengths"].tolist()]
 
+    def numbers(self, words: list[bytes]) -> list[int]:
+        """The words' numbers; 0 is any unknown word.  Those of a long benchmark are looked up in the mapped array."""
+        if self._held is not None:
+            return list(map(self._held.get, words, repeat(0)))
+        own = list(set(words))
+        found = dict(zip(own, self._words.find(own), strict=True))
+        return [max(0, found[w]) for w in words]
+
     def name(self, i: int) -> str:
         return self._blob[self._ends[i] : self._ends[i + 1]].tobytes().decode("utf-8", "surrogatepass")
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(spans of hit words, items with occurring windows) of a whole text's words."""
-        ids = list(map(self.numbers.__getitem__, words))
+        ids = self.numbers(words)
         spans, items = [], set()
         for search in self.searches if any(ids) else ():
             for start, found in search.search(ids):
@@ -207,7 +214,7 @@ def tables(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "
 
 
 def opened_slices(names: list[str]) -> list[Patterns]:
-    return [Patterns(mapped(n), max(1_000, WORDS // len(names))) for n in names]
+    return [Patterns(mapped(n), WORDS // len(names)) for n in names]
 
 
 FOUND = struct_of("doc_id long, n_words long, hit_from long[], hit_to long[], items string[]")
