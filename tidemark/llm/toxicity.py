@@ -8,7 +8,8 @@ word has the log-odds of "no word of the lexicon", which is negative: in a passa
 share of the words is toxic, the density, and in clean text next to none is.  The
 density is that of the passages themselves: hits belong to one passage while the
 words between them cost less than a hit gains, and the density of those passages sets
-that cost.
+that cost.  Where toxic words are strewn over whole documents that density is low, and
+``LEAST_DENSITY`` keeps passages short.
 
 A linear-time scan finds all maximal scoring segments (Ruzzo and Tompa, 1999).  Their
 significance follows the extreme-value law of Karlin and Altschul (1990): lambda solves
@@ -54,6 +55,8 @@ MIN_TOXIC_DOCUMENTS = 3
 PREFIXES = (6, 5, 4, 3)
 #: What each entry of the lexicon adds to its counts among the words of clean text and of passages.
 UNSEEN = 0.5
+#: The least share of toxic words in a passage: thinner ones fall apart into passages of their own.
+LEAST_DENSITY = 1 / 3
 #: Words between two hits are counted up to so many.
 MAX_GAP = 1_000
 #: Minima that near copies have in common.
@@ -330,7 +333,7 @@ def _score(model: ToxicModel, learned: DataFrame) -> None:
         if y == 1 and what == "gap":
             gaps[int(key)] += n
     gain = sum(n * math.log(n / hits * words / clean[e]) for e, n in toxic.items()) / hits
-    density = density_of(gaps[:-1], gain, share)
+    density = max(LEAST_DENSITY, density_of(gaps[:-1], gain, share))
     odds = {e: math.log(density * toxic[e] / hits * words / clean[e]) for e in entries}
     model.words = {e: odds[e] for e in model.words if odds[e] > 0}
     model.stems = {e: odds[e + "*"] for e in model.stems if odds[e + "*"] > 0}
