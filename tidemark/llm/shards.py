@@ -36,7 +36,8 @@ def shard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     spark = documents.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(MAX_PARTITIONS, max(least, documents.count() // PARTITION_ROWS))
+    slim = durable(slim)  # texts are read once: the count, the range's sample and the shuffle take what is left of them
+    parts = min(MAX_PARTITIONS, max(least, slim.count() // PARTITION_ROWS))
     order = ["doc_id", "text_crc32", "size"]
     ranged = durable(slim.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
