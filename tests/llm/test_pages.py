@@ -228,6 +228,20 @@ def test_round_trip_of_odd_rows(odd_pages):
     assert A.round_trip(odd_pages.limit(0)).count() == 0
 
 
+def test_records_have_dates_and_archives_their_description(odd_pages):
+    from datetime import datetime, timedelta
+
+    archives = A.convert(A.plan_revisits(odd_pages))
+    for r in archives.collect():
+        records = list(A.parse_warc(bytes(r["warc"])))
+        assert [h["WARC-Type"] for h, _ in records].count("warcinfo") == 1 and records[0][0]["WARC-Type"] == "warcinfo"
+        assert len({h["WARC-Record-ID"] for h, _ in records if h.get("X-Source-Key") not in ("", "7")}) == sum(h.get("X-Source-Key") not in ("", "7") for h, _ in records)
+    for r in A.round_trip(odd_pages).collect():
+        assert r["warc_date"] == (datetime(2024, 1, 1) + timedelta(seconds=r["page_id"] or 0)).isoformat() + "Z"
+        assert r["record_id"] == A.record_id("" if r["page_id"] is None else str(r["page_id"]))
+    assert A.iso_date("199912312359") == "1999-12-31T23:59:00Z"
+
+
 def test_digests_are_of_the_payload(odd_pages):
     want = {r["page_id"]: hashlib.sha256((r["html"] or "").encode()).hexdigest() for r in odd_pages.collect()}
     assert {r["page_id"]: r["payload_digest"] for r in A.round_trip(odd_pages).collect()} == want

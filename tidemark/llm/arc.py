@@ -3,15 +3,17 @@
 An ARC file starts with a ``filedesc://`` record whose second line says the version;
 version 1 record lines have five fields (url, ip, date, type, length), version 2
 lines ten (with result code, checksum, location, offset and file name).  The parser
-takes each record's payload by its declared length.  The converter gives each
-record a WARC identifier (a name-based UUID), an ISO timestamp, a type (response or
-revisit) and a SHA-256 digest.
+takes each record's payload by its declared length.  The converter writes a warcinfo
+record for the version block, and gives each record a WARC identifier (a name-based
+UUID), an ISO timestamp, a type (response or revisit) and a SHA-256 digest.  Pages have
+no crawl date, so archives are written with one that follows from the id.
 
 Defined cases: null html is an empty payload; a null url is written as ``about:blank``
 and white space inside a url as %20, %09 and so on; of payloads of at least
 ``MIN_REVISIT`` bytes that are equal, the smallest id is the response and the others
 revisit it; smaller ones are always responses; rows with a null id are responses;
-rows that repeat the smallest id and its payload are all responses.
+rows that repeat the smallest id and its payload are all responses; an empty table gives
+no archive; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,17 +23,19 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import bounded, durable
 
 MIN_REVISIT = 100
 #: Pages are written in archives of about so many bytes.
 ARCHIVE_BYTES = 4 << 20
 DATE = b"20240101000000"
+SECONDS = 366 * 86_400
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 
 # Field names of the two versions' record lines.
@@ -55,6 +59,13 @@ class ArcRecord:
     payload: bytes
 
 
+def date_of(key: int | None) -> bytes:
+    """14 digits: a second of the year 2024 for each id."""
+    if key is None:
+        return DATE
+    return (datetime(2024, 1, 1) + timedelta(seconds=key % SECONDS)).strftime("%Y%m%d%H%M%S").encode()
+
+
 def _field(value: str) -> bytes:
     """A header field: white space and controls are percent-encoded."""
     return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], value.encode("utf-8", "surrogatepass")) or b"-"
@@ -125,6 +136,13 @@ def warc_record(record: ArcRecord, digest: str, key: str, refers_to: str | None
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def warcinfo(version: int, name: str = "pages.arc") -> bytes:
+    """The record that describes an archive, for its version block."""
+    block = b"format: WARC File Format 1.1\r\ndescription: converted from ARC version %d\r\n" % version
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: " + record_id(f"info-{version}-{name}").encode(), b"WARC-Date: " + iso_date(DATE.decode()).encode(), b"WARC-Filename: " + name.encode(), b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record, by declared lengths."""
     at = 0
@@ -164,14 +182,14 @@ def convert(planned: DataFrame) -> DataFrame:
             nonlocal turn, rows, total
             version = 1 + turn % 2
             parts, offset = [arc_header(version)], 0
-            for _, url, payload, *_ in rows:
+            for key, url, payload, _ in rows:
                 offset += len(parts[-1])
-                parts.append(arc_record(version, url, payload, offset))
-            out = [warc_record(r, hashlib.sha256(r.payload).hexdigest(), "" if k is None else str(k), None if f is None else str(f)) for r, (k, _, _, f) in zip(parse_arc(b"".join(parts)), rows, strict=True)]
+                parts.append(arc_record(version, url, payload, offset, date=date_of(key)))
+            out = [warcinfo(version)] + [warc_record(r, hashlib.sha256(r.payload).hexdigest(), "" if k is None else str(k), None if f is None else str(f)) for r, (k, _, _, f) in zip(parse_arc(b"".join(parts)), rows, strict=True)]
             turn, rows, total = turn + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["warc"])
 
-        for batch in batches:
+        for batch in bounded(batches, "html"):
             for key, url, page, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 rows.append((key, url or "", page.encode("utf-8", "surrogatepass"), first))
                 total += len(rows[-1][2])
@@ -194,6 +212,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for data in batch.column("warc"):
                 out: list[tuple] = []
                 for head, block in parse_warc(data.as_py()):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
