@@ -10,17 +10,17 @@ from tidemark.llm.common import durable
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # a table of its own, so that the join below reads plain shuffles and a hub's edges can be split over tasks
-    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
-    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")), n)
     moved = edges.join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -29,14 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)`` that isn't its component's least node.
 
     The edge table shrinks towards stars; a hub only ever meets partial minima and
-    joins that can be split, and the table is checkpointed after each round.
+    joins that can be split, and the table is checkpointed after each step.  It has
+    ended when each node has one edge and no root has any.
     """
-    now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    mark = None
+    edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
+    now = durable(edges.distinct(), edges.count())
     for _ in range(MAX_ROUNDS):
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if (row["n"], row["s"]) == mark or not row["n"]:
+        row = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if row["n"] == row["nodes"] and now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (row["n"], row["s"])
-        now = durable(_small_star(_star(now)))
+        star = durable(_star(now, row["n"]), row["n"])
+        now = durable(_small_star(star, row["n"]), row["n"])
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

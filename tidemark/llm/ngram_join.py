@@ -244,6 +244,23 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return edges
 
 
+def _least_of_components(linked: np.ndarray, ids: np.ndarray) -> dict[int, int]:
+    """Each class's least connected class, by a symmetric boolean matrix of links."""
+    left, root = linked.any(1), {}
+    for start in np.flatnonzero(left).tolist():
+        if not left[start]:
+            continue
+        found = np.zeros(len(ids), bool)
+        found[start] = True
+        front = np.array([start])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(0) & ~found)
+            found[front] = True
+        left &= ~found
+        root |= dict.fromkeys(ids[found].tolist(), int(ids[found].min()))
+    return root
+
+
 def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Which shingle sets are similar; ``right`` None: all against all of ``left``."""
     sets = left + (right or [])
@@ -271,12 +288,15 @@ def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.nd
 
 LINKS = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 #: What the first pass returns: links of whole groups, and the sets of groups that are cut.
-MET = pa.schema([*LINKS, ("grp", pa.int64()), ("n_texts", pa.int64()), ("size", pa.int64()), ("gone", pa.binary()), ("extra", pa.binary())])
+MET = pa.schema([*LINKS, ("grp", pa.int64()), ("chunk", pa.int64()), ("n_texts", pa.int64()), ("size", pa.int64()), ("gone", pa.binary()), ("extra", pa.binary())])
 Member = tuple[int, int, np.ndarray]  # class, its texts, its shingles
 
 
 def compare(left: list[Member], right: list[Member] | None = None) -> list[tuple[int, int, int]]:
-    """(class, linked texts, root) of classes with a link; ``right`` None: all against all of ``left``."""
+    """(class, linked texts, root) of classes with a link; ``right`` None: all against all of ``left``.
+
+    The roots are edges of a spanning forest, and of all against all each component's least class.
+    """
     if not left or right is not None and not right:
         return []
     linked = exact_links([r[2] for r in left], None if right is None else [r[2] for r in right])
@@ -285,7 +305,7 @@ def compare(left: list[Member], right: list[Member] | None = None) -> list[tuple
     links = dict(zip(a.tolist(), (linked @ np.array([r[1] for r in other], np.int64)).tolist(), strict=True))
     if right is not None:
         links |= dict(zip(b.tolist(), (linked.T @ np.array([r[1] for r in left], np.int64)).tolist(), strict=True))
-    root = dict(_forest(linked, a, b))
+    root = _least_of_components(linked, a) if right is None else dict(_forest(linked, a, b))
     return [(c, n, root.get(c, c)) for c, n in links.items() if n]
 
 
@@ -300,10 +320,10 @@ def _in_runs(batches: Iterator[pa.RecordBatch], keys: list[str], others: list[st
         yield key, (r[len(keys) :] for r in run)
 
 
-def _meet(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _meet(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """First pass: texts meet their group, or a chunk of it, and are never moved again."""
     total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    chunks = durable(total.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks")))
+    chunks = durable(total.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks")), n)
     dealt = members.join(chunks, "grp").join(texts, ["cid", "text_key"]).dropDuplicates(["cid", "text_key"])
     own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
     # the group's least class goes to every chunk, ahead of the others, and gives the base set
@@ -316,7 +336,7 @@ def _meet(members: DataFrame, texts: DataFrame) -> DataFrame:
         memo, out = word_memo(), []
         for (grp, chunk, chunks), rows in _in_runs(batches, ["grp", "chunk", "chunks"], ["turn", "cid", "n_texts", "text"]):
             if chunks == 1:
-                out += [(*x, *[None] * 5) for x in compare([(c, n, shingles(t, memo)) for _, c, n, t in rows])]
+                out += [(*x, *[None] * 6) for x in compare([(c, n, shingles(t, memo)) for _, c, n, t in rows])]
             else:
                 base = None
                 for turn, c, n, t in rows:
@@ -324,10 +344,10 @@ def _meet(members: DataFrame, texts: DataFrame) -> DataFrame:
                     if not turn:
                         base = own
                         if not chunk:  # the base itself, once, for those that decode
-                            out.append((None, None, None, grp, 0, len(own), b"", own.tobytes()))
+                            out.append((None, None, None, grp, chunk, 0, len(own), b"", own.tobytes()))
                         continue
                     gone, extra = np.setdiff1d(base, own, assume_unique=True), np.setdiff1d(own, base, assume_unique=True)
-                    out.append((c, None, None, grp, n, len(own), gone.tobytes(), extra.tobytes()))
+                    out.append((c, None, None, grp, chunk, n, len(own), gone.tobytes(), extra.tobytes()))
                     if len(out) > 2_000:
                         yield _emit(out, MET)
                         out = []
@@ -337,15 +357,15 @@ def _meet(members: DataFrame, texts: DataFrame) -> DataFrame:
         if out:
             yield _emit(out, MET)
 
-    return dealt.mapInArrow(run, "cid long, links long, root long, grp long, n_texts long, size long, gone binary, extra binary")
+    return dealt.mapInArrow(run, "cid long, links long, root long, grp long, chunk long, n_texts long, size long, gone binary, extra binary")
 
 
-def _blocks(met: DataFrame) -> DataFrame:
+def _blocks(met: DataFrame, n: int) -> DataFrame:
     """Second pass, over the sets of groups that were cut: pairs of blocks whose sizes allow a link."""
     step = F.floor(F.log(F.col("size").cast("double")) / STEP).cast("int")
-    sets = met.where("grp is not null and cid is not null").select("grp", step.alias("k"), "cid", "n_texts", "size", "gone", "extra")
-    counts = sets.groupBy("grp", "k").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
-    counts = durable(counts)
+    sets = met.where("grp is not null and cid is not null").select("grp", step.alias("k"), "chunk", "cid", "n_texts", "size", "gone", "extra")
+    counts = sets.groupBy("grp", "k").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"), F.max("chunk").alias("chunks"))
+    counts = durable(counts, n)
     at = lambda shift, name: counts.select("grp", (F.col("k") + shift).alias("k"), F.col("n").alias(name))
     known = counts.join(at(1, "below"), ["grp", "k"], "left").join(at(-1, "above"), ["grp", "k"], "left")
     # block (k, i) meets the blocks of its own step and of the next one; the task of a pair holds both
@@ -358,7 +378,9 @@ def _blocks(met: DataFrame) -> DataFrame:
         F.transform(upto(F.col("above")), lambda j: task(k, i, k + 1, j)),
         F.transform(upto(F.col("below")), lambda j: task(k - 1, j, k, i)),
     )
-    dealt = sets.join(known, ["grp", "k"]).select("grp", F.explode(tasks).alias("t"), F.lit(1).alias("turn"), k.alias("k"), i.alias("i"), "cid", "n_texts", "gone", "extra")
+    # by chunks, so that no group meets its numbers in one task
+    by_chunk = known.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks"))))
+    dealt = sets.join(by_chunk, ["grp", "k", "chunk"]).select("grp", F.explode(tasks).alias("t"), F.lit(1).alias("turn"), k.alias("k"), i.alias("i"), "cid", "n_texts", "gone", "extra")
     # each task of a group gets its base
     pairs = known.select("grp", F.explode(F.concat(F.flatten(F.transform(upto(F.col("n")), lambda x: F.transform(F.sequence(x, F.col("n") - 1), lambda j: task(k, x, k, j)))), F.flatten(F.transform(upto(F.col("n")), lambda x: F.transform(upto(F.col("above")), lambda j: task(k, x, k + 1, j)))))).alias("t"))
     base = met.where("grp is not null and cid is null").select("grp", "extra")
@@ -392,14 +414,18 @@ def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact links inside candidate groups.
 
     ``members(grp, cid, n_texts, size, text_key)`` and ``texts(cid, text_key, text)``,
-    whose rows may repeat; returns ``(cid, links, root)`` rows, where ``links`` counts
-    different texts and ``root`` joins the class to a component.
+    whose rows may repeat; returns ``(cid, links, root)`` for each class with a link,
+    where ``links`` counts different texts and ``root`` is the least class of its component.
     """
-    met = durable(_meet(members, texts))
+    n = members.count()
+    met = durable(_meet(members, texts, n))
     whole = met.where("grp is null").select("cid", "links", "root")
     if met.where("grp is not null").isEmpty():
         return whole
-    return whole.unionByName(_blocks(met))
+    cut = durable(_blocks(met, n))
+    links = cut.groupBy("cid").agg(F.sum("links").alias("links"))
+    roots = components(cut.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
+    return whole.unionByName(links.join(roots, "cid", "left").select("cid", "links", F.coalesce("root", "cid").alias("root")))
 
 
 def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,12 +441,9 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("size").alias("size"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "size", "sig"))
     groups = components(candidate_pairs(classes))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "size", "text_key"), "cid")
+    members = durable(groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "size", "text_key"), "cid"))
     texts = documents.select(F.col(id_col).cast("long").alias("cid"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
-    found = durable(verified(members, texts))
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    whole = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    whole = classes.join(verified(members, texts), "cid", "left")
     whole = whole.select("set_key", F.coalesce("root", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "n_copies")
     linked = once.select("id", "set_key").join(whole, "set_key").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
     ids = documents.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
