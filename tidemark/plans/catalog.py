@@ -8,11 +8,13 @@ rounded to 4 places and means to 6, since a distributed sum has no fixed order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import SeriesFull, TidemarkError
 from tidemark.functions import equals, micros, time_literal
 from tidemark.operators import (
     admit_monotonic,
@@ -33,9 +35,10 @@ from tidemark.operators import (
     retain_oldest,
 )
 from tidemark.plans import streams
-from tidemark.schema import Kind, SeriesSchema
+from tidemark.schema import LOG_HEADER_BYTES, Kind, SeriesSchema
 from tidemark.series import Series
-from tidemark.sources import decode_logs, encode_logs, header_of, ring_state
+from tidemark.sources import SeriesStore, decode_logs, encode_logs, header_of, ring_state
+from tidemark.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -446,6 +449,115 @@ def log_recovery(spark, sf_dir):
     return ring_state(_wrapped(spark, sf_dir), LOG, KEEP, header=header_of(LOG))
 
 
+# --- a series and a store that grow
+
+
+
+def _halves(df: DataFrame, arrival: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that arrive first, then the others."""
+    row = df.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    middle = ((row["a"] or 0) + (row["b"] or 0)) // 2
+    return df.where(F.col(arrival) < middle), df.where(F.col(arrival) >= middle)
+
+
+ARRIVALS = SeriesSchema.of(time="t", t=Kind.I64, o_orderkey=Kind.I64)
+EVENT_IDS = SeriesSchema.of(time="t", t=Kind.I64, event_id=Kind.I64)
+
+
+def _store(spark: SparkSession, schema: SeriesSchema, key: str, **bound) -> SeriesStore:
+    """A new store in the shared folder."""
+    return SeriesStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4()}", schema, key, **bound)
+
+
+@query(ORACLE_SQL["ingest_monotonic"])
+def series_append(spark, sf_dir):
+    first, second = _halves(orders(spark, sf_dir), "o_orderkey")
+    empty = first.limit(0).select("o_orderpriority", "t", "o_orderkey")
+    return Series(empty, ARRIVALS, ["o_orderpriority"]).append(first, "o_orderkey").append(second, "o_orderkey").df
+
+
+@query(ORACLE_SQL["ingest_monotonic"])
+def store_append(spark, sf_dir):
+    store = _store(spark, ARRIVALS, "o_orderpriority")
+    for batch in _halves(orders(spark, sf_dir), "o_orderkey"):
+        store.append(batch, "o_orderkey")
+    return SeriesStore(spark, store.path, ARRIVALS, "o_orderpriority").rows()
+
+
+@query(ORACLE_SQL["ingest_sequence"])
+def store_append_numbered(spark, sf_dir):
+    store = _store(spark, EVENT_IDS, "event_type")
+    for batch in _halves(named(raw(spark, sf_dir)).select("event_type", "t", "event_id"), "event_id"):
+        store.append_numbered(batch, "event_id")
+    return store.rows()
+
+
+@query(_newest("event_id, event_type, epoch_us(ts) AS t"))
+def store_ring_compacted(spark, sf_dir):
+    """A byte budget of KEEP records; what it keeps goes to another folder."""
+    store = _store(spark, EVENT_IDS, "event_type", max_bytes=LOG_HEADER_BYTES + KEEP * EVENT_IDS.record_bytes)
+    store.append(named(raw(spark, sf_dir)).select("event_type", "t", "event_id"), "event_id")
+    target = f"{store.path}-small"
+    store.compact(target)
+    return SeriesStore(spark, target, EVENT_IDS, "event_type").rows()
+
+
+@query("SELECT 0 AS rows_after, count(*) AS rows_before FROM events")
+def store_drop(spark, sf_dir):
+    store = _store(spark, EVENT_IDS, "event_type")
+    store.append(named(raw(spark, sf_dir)).select("event_type", "t", "event_id"), "event_id")
+    before = store.rows().count()
+    store.drop()
+    return spark.createDataFrame([(before, store.rows().count())], "rows_before long, rows_after long").selectExpr("cast(rows_after AS int) AS rows_after", "rows_before")
+
+
+@query(f"SELECT event_type, count(*) > {KEEP} AS raised, least(count(*), {KEEP}) AS rows FROM events GROUP BY event_type")
+def store_full(spark, sf_dir):
+    """Whether each series, appended alone, is more than a store of KEEP rows takes, and what then is in it."""
+    events = named(raw(spark, sf_dir)).select("event_type", "t", "event_id")
+    store, out = _store(spark, EVENT_IDS, "event_type", keep=KEEP, stop_when_full=True), []
+    for kind in [r[0] for r in events.select("event_type").distinct().collect()]:  # five of them
+        own, raised = events.where(F.col("event_type") == kind), False
+        try:
+            store.append(own, "event_id")
+        except SeriesFull:
+            raised = True
+            store.append(retain_oldest(own, ["event_type"], "event_id", KEEP), "event_id")
+        out.append((kind, raised))
+    counts = store.rows().groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.createDataFrame(out, "event_type string, raised boolean").join(counts, "event_type")
+
+
+@query(ORACLE_SQL["stats_by_series"])
+def stats_by_index(spark, sf_dir):
+    """By the field's index instead of its name."""
+    return rounded(Series(week(spark, sf_dir), EVENTS, ["event_type"]).stats(EVENTS.position("value")))
+
+
+@query("SELECT 'unsigned 8 bit' AS literal, 'refused' AS answer UNION ALL SELECT 'float for an integer', 'refused' UNION ALL SELECT 'unknown field', 'refused' UNION ALL SELECT 'another schema', 'refused' UNION ALL SELECT 'field of a string', 'refused'")
+def strict_types(spark, sf_dir):
+    """What raises before anything runs."""
+    schema = SeriesSchema.of(time="t", t=Kind.I64, small=Kind.U8, value=Kind.F64)
+    series = Series(week(spark, sf_dir), EVENTS)
+    store = _store(spark, EVENT_IDS, "event_type")
+    store.append(named(raw(spark, sf_dir)).select("event_type", "t", "event_id"), "event_id")
+    tries = {
+        "unsigned 8 bit": lambda: equals(schema, "small", 1),
+        "float for an integer": lambda: equals(EVENTS, "user_id", 7.0),
+        "unknown field": lambda: series.stats("nothing"),
+        "another schema": lambda: SeriesStore(spark, store.path, ARRIVALS, "event_type"),
+        "field of a string": lambda: series.latest("event_type"),
+    }
+    out = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+            out.append((name, "taken"))
+        except TidemarkError:
+            out.append((name, "refused"))
+    return spark.createDataFrame(out, "literal string, answer string")
+
+
 # --- streams
 
 
@@ -464,6 +576,11 @@ def stream_latest(spark, sf_dir):
     return streams.latest(spark, sf_dir)
 
 
+@query(stats_sql("value", "events", "event_type"))
+def stream_stats(spark, sf_dir):
+    return rounded(streams.stats(spark, sf_dir))
+
+
 @query(f"""
 SELECT epoch_us(day) AS window_start, event_type, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, count(*) AS count, round(avg(value), 6) AS mean
 FROM (SELECT *, date_trunc('day', ts) AS day FROM events) GROUP BY day, event_type""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemark.functions import micros
 from tidemark.schema import Kind, SeriesSchema
 from tidemark.storage import shared_folder
-from tidemark.streaming import admit_stream, latest_version, number_stream, retained_sink, running_latest, state_session, windowed_stats
+from tidemark.streaming import admit_stream, latest_version, number_stream, retained_sink, running_latest, running_stats, state_session, windowed_stats
 
 TIMEOUT = 600
 #: Files that a micro-batch reads at most.
@@ -52,17 +53,31 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+VALUES = SeriesSchema.of(time="t", t=Kind.I64, value=Kind.F64)
+
+
+def _view(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a running view of the events holds in the end."""
     folder = _folder(spark)
-    schema = SeriesSchema.of(time="t", t=Kind.I64, value=Kind.F64)
     rows = _read(spark, sf_dir, "events").select("event_type", micros("ts").alias("t"), "value")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/latest")
+        batch.write.mode("overwrite").parquet(f"{folder}/view")
+
+    _finish(make(rows).writeStream.outputMode("complete").foreachBatch(keep), folder)
+    return spark.read.parquet(f"{folder}/view")
+
 
-    view = running_latest(rows, schema, ["event_type"], "value")
-    _finish(view.writeStream.outputMode("complete").foreachBatch(keep), folder)
-    return spark.read.parquet(f"{folder}/latest")
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, lambda rows: running_latest(rows, VALUES, ["event_type"], "value"))
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, lambda rows: running_stats(rows, VALUES, ["event_type"], "value"))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, lambda rows: windowed_stats(rows, VALUES, ["event_type"], "value", "1 day", "365 days"))
 
 
 def retained(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -71,16 +86,3 @@ def retained(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     _finish(rows.writeStream.foreachBatch(retained_sink(f"{folder}/newest", ["event_type"], "t", n)), folder)
     found = latest_version(spark, f"{folder}/newest")
     return found if found is not None else spark.createDataFrame([], rows.schema).select(F.col("event_id"), "event_type", "t")
-
-
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
-    schema = SeriesSchema.of(time="t", t=Kind.I64, value=Kind.F64)
-    rows = _read(spark, sf_dir, "events").select("event_type", micros("ts").alias("t"), "value")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/windows")
-
-    view = windowed_stats(rows, schema, ["event_type"], "value", "1 day", "365 days")
-    _finish(view.writeStream.outputMode("complete").foreachBatch(keep), folder)
-    return spark.read.parquet(f"{folder}/windows")
