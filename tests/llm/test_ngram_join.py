@@ -104,7 +104,7 @@ def test_neighbours_are_those_of_the_sorted_tries(spark):
                 depth = next((d for d in range(N.DEPTH) if labels[u, t, d] != labels[v, t, d]), N.DEPTH)
                 if depth >= N.LEAST_DEPTH:
                     want.add((u, v, depth))
-    found = {(r["u"], r["v"], r["depth"]) for r in N.neighbours(classes.repartition(7)).collect()}
+    found = {(r["u"], r["v"], r["depth"]) for r in N.neighbours(classes.repartition(7), 300).collect()}
     assert found >= want
     # a seam may also pair rows that are a few places apart
     assert len(found - want) <= 4 * N.REACH**2 * 4

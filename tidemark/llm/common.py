@@ -20,23 +20,28 @@ from tidemark.storage import shared_folder
 SLICE_BYTES = 4 << 20
 #: Rows of a few numbers that make a file.
 ROWS_A_FILE = 250_000
+#: Rows with a signature, and rows that a task has to work on.
+WIDE_ROWS, HEAVY_ROWS = 20_000, 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+def fewer(df: DataFrame, rows: int, a_file: int = ROWS_A_FILE) -> DataFrame:
+    """A table of at most ``rows`` rows in partitions of about ``a_file``, if it comes in more of them."""
+    files = max(1, -(-rows // a_file))
+    return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def durable(df: DataFrame, rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
     ``rows``: a bound on the rows, if one is known; a small table then goes into few
     files, however many partitions it comes in.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
-        df = df.coalesce(files)
-    return df.checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    return (df if rows is None else fewer(df, rows, a_file)).checkpoint(eager=True)
 
 
 class Memo(dict):

@@ -25,14 +25,15 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)`` that isn't its component's least node.
 
     The edge table shrinks towards stars; a hub only ever meets partial minima and
     joins that can be split, and the table is checkpointed after each step.  It has
-    ended when each node has one edge and no root has any.
+    ended when each node has one edge and no root has any.  ``most``: a bound on the
+    edges, if one is known.
     """
-    edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
+    edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"), most)
     now = durable(edges.distinct(), edges.count())
     for _ in range(MAX_ROUNDS):
         row = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, bounded, column_names_like, durable, map_rows, struct_of, texts_of
+from tidemark.llm.common import HEAVY_ROWS, WIDE_ROWS, Memo, bounded, column_names_like, durable, fewer, map_rows, struct_of, texts_of
 from tidemark.llm.graph import components
 
 WORD = re.compile(r"\w+")
@@ -175,13 +175,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([x.column("cid"), x.column("cid"), pa.nulls(x.num_rows, pa.int32()), x.column("tree"), x.column("path"), x.column("turn")], names=["u", "v", "depth", "tree", "path", "turn"])
 
 
-def neighbours(classes: DataFrame) -> DataFrame:
-    """``(u, v, depth)`` of classes near each other in a tree's sorted trie; ``classes(cid, sig)``."""
+def neighbours(classes: DataFrame, n: int) -> DataFrame:
+    """``(u, v, depth)`` of classes near each other in a tree's sorted trie; ``classes(cid, sig)``, ``n`` of them."""
     order = ["tree", "path", "turn"]
     labels = [F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH) for t in range(TREES)]
     paths = classes.select("cid", F.posexplode(F.array(*labels)).alias("tree", "path")).withColumn("turn", F.xxhash64("cid", "tree"))
     stretches = paths.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "path", "turn", "cid")
-    found = durable(stretches.mapInArrow(lambda batches: _neighbours(batches, True), NEIGHBOURS))
+    found = durable(stretches.mapInArrow(lambda batches: _neighbours(batches, True), NEIGHBOURS), REACH * TREES * n)
     # where one stretch ends and the next begins: at most 2 * REACH rows of each, whatever the input
     seams = found.where("depth is null").select("tree", "path", "turn", F.col("u").alias("cid")).distinct().coalesce(1).sortWithinPartitions(*order)
     across = seams.mapInArrow(lambda batches: _neighbours(batches, False), NEIGHBOURS)
@@ -201,16 +201,18 @@ def _agreement(pairs: DataFrame) -> DataFrame:
     return map_rows(pairs, one, struct_of("u long, v long, depth int, s double, " + ", ".join(f"{n} int" for n in names)))
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` that share a prefix of the length that their recall asks for, agreeing in half their labels.
+def candidate_pairs(classes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Pairs ``(u, v)``, and a bound on their number, that share a prefix of the length that their recall asks for, agreeing in half their labels.
 
-    ``classes(cid, sig)``.
+    ``classes(cid, sig)``, ``n`` of them.
     """
     deepest = shortest_prefix()
-    pairs = neighbours(classes).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("depth").alias("depth")).where("u < v")
+    near = neighbours(classes, n)
+    most = near.count()
+    pairs = near.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("depth").alias("depth")).where("u < v")
     sig = classes.select("cid", "sig")
     pairs = pairs.join(sig.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
-    found = durable(_agreement(pairs.select("u", "v", "depth", "a", "b")).where(F.col("s") >= KEEP))
+    found = durable(_agreement(pairs.select("u", "v", "depth", "a", "b")).where(F.col("s") >= KEEP), most, WIDE_ROWS)
     linked = found.where((F.col("s") >= SIMILARITY) & (F.col("depth") >= deepest))
     hits = [f"m{d}" for d in range(LEAST_DEPTH, deepest + 1)]
     both = linked.select(F.explode(F.array("u", "v")).alias("cid"), *hits).groupBy("cid").agg(*(F.avg(m).alias(m) for m in hits))
@@ -222,7 +224,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     shorter = both.select("cid", own.alias("own")).where(F.col("own") < deepest)
     # found(u, v) is small beside the classes; a class that shortens pulls in the pairs of its shorter nodes
     more = found.where(F.col("depth") < deepest).select("u", "v", "depth", F.explode(F.array("u", "v")).alias("cid")).join(shorter, "cid").where("depth >= own")
-    return found.where(F.col("depth") >= deepest).select("u", "v").unionByName(more.select("u", "v")).distinct()
+    return found.where(F.col("depth") >= deepest).select("u", "v").unionByName(more.select("u", "v")).distinct(), most
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -418,11 +420,11 @@ def verified(members: DataFrame, texts: DataFrame) -> DataFrame:
     where ``links`` counts different texts and ``root`` is the least class of its component.
     """
     n = members.count()
-    met = durable(_meet(members, texts, n))
+    met = durable(_meet(members, texts, n), n, HEAVY_ROWS)
     whole = met.where("grp is null").select("cid", "links", "root")
     if met.where("grp is not null").isEmpty():
         return whole
-    cut = durable(_blocks(met, n))
+    cut = durable(_blocks(met, n), n, HEAVY_ROWS)
     links = cut.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(cut.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
     return whole.unionByName(links.join(roots, "cid", "left").select("cid", "links", F.coalesce("root", "cid").alias("root")))
@@ -435,19 +437,21 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     different texts that are similar; ``n_copies``: documents with the same shingles.
     """
     slim = durable(sketches(documents, id_col=id_col, text_col=text_col))
+    n = slim.count()
     # rows that repeat an id are one document
     once = slim.groupBy("id").agg(F.min(F.struct("text_key", "set_key", "size", "sig")).alias("x")).select("id", "x.*")
     one_text = once.groupBy("set_key", "text_key").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("size").alias("size"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "size", "sig"))
-    groups = components(candidate_pairs(classes))
+    classes = durable(one_text.groupBy("set_key").agg(F.min(F.struct("cid", "text_key")).alias("x"), F.sum("n").alias("n_copies"), F.count("*").alias("n_texts"), F.first("size").alias("size"), F.first("sig").alias("sig")).select("set_key", "x.*", "n_copies", "n_texts", "size", "sig"), n, WIDE_ROWS)
+    groups = components(*candidate_pairs(classes, n))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = durable(groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "size", "text_key"), "cid"))
+    members = durable(groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "n_texts", "size", "text_key"), "cid"), n)
     texts = documents.select(F.col(id_col).cast("long").alias("cid"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).where(F.col("cid").isNotNull() & F.col("text").isNotNull())
     whole = classes.join(verified(members, texts), "cid", "left")
     whole = whole.select("set_key", F.coalesce("root", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "n_copies")
     linked = once.select("id", "set_key").join(whole, "set_key").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
     ids = documents.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return ids.join(linked, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    found = ids.join(linked, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    return fewer(found, n, WIDE_ROWS)
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
