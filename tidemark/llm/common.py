@@ -21,7 +21,7 @@ SLICE_BYTES = 4 << 20
 #: Rows of a few numbers that make a file.
 ROWS_A_FILE = 250_000
 #: Rows with a signature, and rows that a task has to work on.
-WIDE_ROWS, HEAVY_ROWS = 20_000, 2_000
+WIDE_ROWS, HEAVY_ROWS = 8_000, 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
