@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import catalog
 
@@ -49,3 +50,15 @@ def test_few_columns_are_read(spark, data):
 
 def test_retention_is_limited_before_the_shuffle(spark, data):
     assert catalog.QUERIES["retain_last_n"](spark, data)._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2
+
+
+def test_dropped_store_held_every_row(spark, data, tmp_path):
+    """Times that start over, equal ones, and ids that repeat."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    again = events.withColumn("event_id", F.col("event_id") + 1_000_000)
+    events.unionByName(again).unionByName(again.limit(10)).write.parquet(f"{tmp_path}/events.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = connection.execute(catalog.ORACLE_SQL["store_drop"]).fetchall()
+    found = catalog.QUERIES["store_drop"](spark, str(tmp_path)).select("rows_after", "rows_before")
+    assert [tuple(r) for r in found.collect()] == want == [(0, 2 * events.count() + 10)]
